@@ -6,23 +6,51 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marlstone.llm import simhash
-from marlstone.llm.common import read, release, written
+from marlstone.llm import decontaminate, langid, mixing, sharding, simhash
+from marlstone.llm.common import read, stage_tables, written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the documents whose language is recognised."""
+    with stage_tables(spark):
+        return langid.accepted(docs)
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near-duplicates."""
-    release(spark)
-    return simhash.representatives(docs)
+    with stage_tables(spark):
+        return simhash.representatives(docs)
+
+
+def contamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the documents without a passage of the benchmark."""
+    with stage_tables(spark):
+        return decontaminate.clean_documents(docs, read(spark, sf_dir, "benchmark"))
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Emits each document as often as its source's target weight asks for."""
+    with stage_tables(spark):
+        return mixing.mixed_documents(docs)
+
+
+def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents with their size, shard and slot."""
+    with stage_tables(spark):
+        return sharding.assign(docs)
 
 
 STAGES: list[tuple[str, Stage]] = [
+    ("language", language),
     ("near_duplicates", near_duplicates),
+    ("contamination", contamination),
+    ("mixture", mixture),
+    ("shards", shards),
 ]
 
-#: The stages on fingerprints, positional postings and trained centroids can't be put in SQL.
+#: Trained centroids, fingerprints and positional postings can't be put in SQL.
 ORACLE_SQL: str | None = None
 
 

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +19,9 @@ LOWER = bytes.maketrans(UPPER, LOWER_CASE)
 #: above belong to words, so splitting the result gives the words ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]+``.
 ALNUM = bytes(32 if b < 128 and not chr(b).isalnum() else LOWER[b] for b in range(256))
 
-_scratch: dict[str, list[str]] = {}
+#: Tables of the stage that runs and of the one before; None outside of stages.
+_stage: list[str] | None = None
+_stages: list[str] = []
 
 
 def space_words(data: bytes | None) -> list[bytes]:
@@ -35,26 +41,39 @@ def scratch_root(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="marlstone-")
+        atexit.register(shutil.rmtree, root, True)
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet into the shared folder and reads it again: computed once, and nothing behind it is
-    needed when an executor is lost."""
-    spark = df.sparkSession
-    path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
-    _scratch.setdefault(spark.sparkContext.applicationId, []).append(path)
+    needed when an executor is lost. The table stays, for the result may be read at any time; those of a pipeline's
+    stage go when the next one starts."""
+    path = f"{scratch_root(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    if _stage is not None:
+        _stage.append(path)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Deletes the tables that written() has made in this application; call it when their readers are done."""
-    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
-    for path in _scratch.pop(spark.sparkContext.applicationId, []):
-        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(hadoop).delete(p, True)
+def delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextmanager
+def stage_tables(spark: SparkSession) -> Iterator[None]:
+    """For the body of a pipeline's stage. When it starts, the result of the stage before is written, so that one's
+    tables are deleted."""
+    global _stage
+    while _stages:
+        delete(spark, _stages.pop())
+    _stage = _stages
+    try:
+        yield
+    finally:
+        _stage = None
 
 
 def text_bytes(column: str = "text"):
@@ -62,10 +81,5 @@ def text_bytes(column: str = "text"):
     return F.col(column).cast("binary")
 
 
-def spread(df: DataFrame, rows: int) -> int:
-    """How many ranges of at most about ``rows`` rows a hash has to be cut into; the count is a driver scalar."""
-    return max(1, -(-df.count() // rows))
-
-
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
