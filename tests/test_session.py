@@ -1,0 +1,260 @@
+import random
+
+import pytest
+import university
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
+
+from marlstone import errors
+from marlstone.plans import explain
+from marlstone.session import Engine
+from marlstone.sources import catalog as cat
+from marlstone.types import Kind
+
+
+@pytest.fixture(scope="module", params=["basic", "heuristic"])
+def db(request, spark, tmp_path_factory):
+    return university.build(Engine(spark).connect(f"file://{tmp_path_factory.mktemp('db')}", request.param))
+
+
+@pytest.fixture
+def fresh(spark, tmp_path):
+    return Engine(spark).connect(f"file://{tmp_path}/db")
+
+
+def rows(connection, sql):
+    result = connection.create_statement(sql).execute_query()
+    return sorted(tuple(r) for page in result.pages() for r in page)
+
+
+E1 = [("amy", "math", 2020), ("art", "drama", 2021), ("bob", "drama", 2020), ("joe", "compsci", 2021), ("kim", "math", 2020), ("lee", "compsci", 2021), ("max", "compsci", 2022), ("pat", "math", 2019), ("sue", "math", 2022)]
+
+
+@pytest.mark.parametrize(
+    ("sql", "want"),
+    [
+        ("SELECT sname, dname, grad_year FROM student, dept WHERE major_id = did;", E1),
+        ("SELECT sname, dname FROM name_dep WHERE grad_year = 2020;", [("amy", "math"), ("bob", "drama"), ("kim", "math")]),
+        ("SELECT sname, grade, prof FROM student, enroll, section WHERE sid = student_id AND sect_id = section_id;", [("amy", "B+", "einstein"), ("joe", "A", "turing"), ("joe", "C", "einstein"), ("kim", "A", "brando"), ("sue", "A", "brando"), ("sue", "B", "newton")]),
+        ("SELECT sname, grade FROM student, enroll, einstein WHERE sid = student_id AND sect_id = section_id;", [("amy", "B+"), ("joe", "C")]),
+        ("SELECT sname FROM student WHERE birth = '2001-09-13';", [("amy",)]),
+        ("SELECT sname FROM student WHERE birth = '2001-9-13';", []),
+        ("SELECT sname FROM student WHERE birth = 'never';", []),
+        ("SELECT sname FROM student WHERE sid = '1';", []),
+        ("SELECT sname FROM student WHERE grad_year = 'x';", []),
+        ("SELECT sname FROM student WHERE sex = 1;", []),
+        ("SELECT sname, sex_name FROM student, sex WHERE sex = value;", sorted((r[1], "male" if r[5] else "female") for r in university.ROWS["student"])),
+        ("SELECT sid, sname, dname, title, prof FROM student, dept, course, section WHERE did = major_id AND did = dept_id AND cid = course_id AND sname = 'joe';", [(1, "joe", "compsci", "db systems", "turing")] * 2),
+        ("SELECT sname FROM student WHERE grad_year = 2020;", [("amy",), ("bob",), ("kim",)]),
+        ("SELECT sid FROM student WHERE 1 = 1 AND grad_year = 2019;", [(8,)]),
+        ("SELECT sid FROM student WHERE 1 = 2;", []),
+    ],
+)
+def test_queries(db, sql, want):
+    assert rows(db, sql) == sorted(want)
+
+
+def test_view_and_table(db):
+    assert len(rows(db, "SELECT sname, title FROM name_dep, course WHERE major_id = dept_id;")) == 18
+    assert len(rows(db, "SELECT sname, dname FROM student, dept;")) == 27
+
+
+@pytest.mark.parametrize(
+    ("sql", "error"),
+    [
+        ("SELECT nope FROM student;", errors.UnknownColumnError),
+        ("SELECT SID FROM student;", errors.UnknownColumnError),
+        ("SELECT sid FROM nope;", errors.UnknownTableError),
+        ("SELECT sid FROM student, student;", errors.AmbiguousColumnError),
+        ("SELECT sid FROM student WHERE nope = 1;", errors.UnknownColumnError),
+        ("DELETE FROM student;", errors.WrongStatementError),
+    ],
+)
+def test_query_errors(db, sql, error):
+    with pytest.raises(error):
+        db.create_statement(sql).execute_query()
+
+
+def test_change_errors(fresh):
+    university.build(fresh, ("student", "dept"))
+    before = rows(fresh, "SELECT sid, sname, grad_year, birth FROM student;")
+    for sql, error in [
+        ("INSERT INTO dept (did, dname) VALUES (40, 'a name too long');", errors.ValueRangeError),
+        ("INSERT INTO student (grad_year) VALUES (40000);", errors.ValueRangeError),
+        ("INSERT INTO student (birth) VALUES ('2001-02-30');", errors.TypeMismatchError),
+        ("INSERT INTO student (sid) VALUES ('1');", errors.TypeMismatchError),
+        ("INSERT INTO student (sid, sid) VALUES (1, 2);", errors.ArityError),
+        ("INSERT INTO nope (sid) VALUES (1);", errors.UnknownTableError),
+        ("INSERT INTO tblcat (tblname) VALUES ('x');", errors.UnknownTableError),
+        ("UPDATE student SET sname = 5;", errors.TypeMismatchError),
+        ("UPDATE student SET birth = sname;", errors.ValueRangeError),
+        ("UPDATE student SET sname = sid;", errors.TypeMismatchError),
+        ("UPDATE student SET nope = 1;", errors.UnknownColumnError),
+        ("DELETE FROM student WHERE nope = 1;", errors.UnknownColumnError),
+        ("CREATE TABLE dept (x INTEGER);", errors.DuplicateNameError),
+        ("CREATE TABLE twice (x INTEGER, x INTEGER);", errors.DuplicateNameError),
+        ("CREATE VIEW dept AS SELECT sid FROM student;", errors.DuplicateNameError),
+        ("CREATE VIEW broken AS SELECT nope FROM student;", errors.UnknownColumnError),
+        ("CREATE INDEX i ON student (nope);", errors.UnknownColumnError),
+        ("CREATE INDEX i ON nope (x);", errors.UnknownTableError),
+        ("SELECT sid FROM student;", errors.WrongStatementError),
+    ]:
+        with pytest.raises(error):
+            fresh.update(sql)
+    assert rows(fresh, "SELECT sid, sname, grad_year, birth FROM student;") == before
+
+
+def test_update_and_delete(fresh):
+    university.build(fresh, ("student", "dept"))
+    assert fresh.update("UPDATE student SET major_id = 30 WHERE grad_year = 2020;") == 3
+    drama = rows(fresh, "SELECT sname FROM student, dept WHERE major_id = did AND dname = 'drama';")
+    assert drama == [("amy",), ("art",), ("bob",), ("kim",)]
+    assert fresh.update("DELETE FROM student WHERE major_id = 30;") == 4
+    assert [r[0] for r in rows(fresh, "SELECT sname FROM student;")] == ["joe", "lee", "max", "pat", "sue"]
+    assert fresh.update("UPDATE student SET grad_year = sid;") == 5
+    assert rows(fresh, "SELECT sid FROM student WHERE sid = grad_year;") == [(1,), (3,), (4,), (8,), (9,)]
+    assert fresh.update("DELETE FROM student WHERE sname = 'nobody';") == 0
+    assert fresh.update("DELETE FROM student;") == 5 and rows(fresh, "SELECT sid FROM student;") == []
+    assert fresh.update("INSERT INTO student (sname) VALUES ('zoe');") == 1
+    assert rows(fresh, "SELECT sid, sname, grad_year, birth, sex FROM student;") == [(0, "zoe", 0, "0000-01-01", False)]
+
+
+def test_readers_keep_their_state_and_vacuum(fresh):
+    university.build(fresh, ("dept",))
+    fresh.update("UPDATE dept SET dname = 'x' WHERE did = 10;")
+    old = fresh.query("SELECT dname FROM dept;")
+    fresh.update("DELETE FROM dept;")
+    assert sorted(r[0] for r in old.collect()) == ["drama", "math", "x"] and fresh.query("SELECT did FROM dept;").count() == 0
+    fresh.update("INSERT INTO dept (did) VALUES (7);")
+    fresh.store.vacuum()
+    assert rows(fresh, "SELECT did FROM dept;") == [(7,)]
+
+
+def test_second_connection_and_lock(spark, fresh, monkeypatch):
+    fresh.update("CREATE TABLE t (a INTEGER);")
+    other = Engine(spark).connect(fresh.store.root)
+    other.update("INSERT INTO t (a) VALUES (1);")
+    assert rows(fresh, "SELECT a FROM t;") == [(1,)]
+    monkeypatch.setattr(cat, "LOCK_SECONDS", 0.2)
+    with fresh.store.change(), pytest.raises(errors.LockTimeoutError):
+        other.update("INSERT INTO t (a) VALUES (2);")
+    assert other.update("INSERT INTO t (a) VALUES (3);") == 1 and other.commit() == fresh.rollback() == 3
+
+
+def test_inserts_settle_into_files(fresh, monkeypatch):
+    monkeypatch.setattr(cat, "TAIL_ROWS", 4)
+    fresh.update("CREATE TABLE t (a INTEGER, d DATE);")
+    for i in range(10):
+        fresh.update(f"INSERT INTO t (a) VALUES ({i});")
+    assert len(fresh.store.latest().table("t")["files"]) == 2 and len(rows(fresh, "SELECT a, d FROM t;")) == 10
+
+
+def test_load_and_register(fresh, spark, sf):
+    fresh.register_parquet("nation", f"{sf}/nation.parquet")
+    assert fresh.update("DELETE FROM nation WHERE n_regionkey = 1;") == 5
+    assert fresh.query("SELECT n_name FROM nation;").count() == 20 and spark.read.parquet(f"{sf}/nation.parquet").count() == 25
+    fresh.update("CREATE TABLE big (a INTEGER, b VARCHAR(9));")
+    fresh.load("big", spark.range(3000).selectExpr("id as a", "concat('rec', id) as b"))
+    assert fresh.update("DELETE FROM big WHERE a = 7;") == 1 and fresh.query("SELECT a FROM big;").count() == 2999
+
+
+def test_result_set(db):
+    result = db.create_statement("SELECT sid, sname, grad_year, birth, sex FROM student WHERE sid = 1;").execute_query()
+    with pytest.raises(errors.WrongStatementError):
+        result.get("sid")
+    assert result.next()
+    assert (result.get_i32("sid"), result.get_string("sname"), result.get_i16("grad_year"), result.get_date("birth"), result.get_bool("sex")) == (1, "joe", 2021, "2002-06-22", True)
+    with pytest.raises(errors.TypeMismatchError):
+        result.get_bool("sid")
+    with pytest.raises(errors.UnknownColumnError):
+        result.get("dname")
+    assert not result.next()
+    result.before_first()
+    assert result.next() and result.metadata.column_count == 5
+    assert [result.metadata.column_display_size(i) for i in range(5)] == [7, 11, 10, 11, 6]
+    assert result.metadata.column_name(3) == "birth" and result.metadata.column_type(3) is Kind.DATE
+    result.close()
+
+
+def test_introspection(db):
+    assert db.index_info("student") == {"grad_year": "student_grad_year", "major_id": "student_major_id", "sex": "student_sex"}
+    assert db.view_definition("einstein") == ("einstein", "SELECT sect_id FROM section WHERE prof = 'einstein';")
+    assert db.table_schema("student").slot_size == 33 and db.table_schema("dept").slot_size == 22
+    assert rows(db, "SELECT tblname, slotsize FROM tblcat WHERE tblname = 'student';") == [("student", 33)]
+    with pytest.raises(errors.UnknownTableError):
+        db.view_definition("student")
+
+
+def test_explain(spark, tmp_path):
+    for planner, operations in {
+        "basic": ["PROJECT SCAN", "SELECT SCAN", "PRODUCT SCAN", "TABLE SCAN", "TABLE SCAN"],
+        "heuristic": ["PROJECT SCAN", "SELECT SCAN", "INDEX JOIN SCAN BY major_id = did", "TABLE SCAN", "TABLE SCAN"],
+    }.items():
+        c = university.build(Engine(spark).connect(f"file://{tmp_path}/{planner}", planner))
+        plan = c.create_statement("SELECT sname, dname FROM student, dept WHERE major_id = did;").explain_plan()
+        assert [r[2] for r in explain.rows(plan)] == operations
+        lines = explain.text(plan).split("\n")
+        assert lines[0].split() == ["#", "Operation", "Name", "Reads", "Writes"] and lines[1] == "-" * 102 and lines[2].startswith(" 1 PROJECT SCAN")
+    index = c.create_statement("SELECT sname FROM student WHERE grad_year = 2020;").explain_plan()
+    assert explain.rows(index)[2][2:4] == ("INDEX SELECT SCAN BY grad_year = 2020", "student_grad_year")
+
+
+def test_closed_connection(spark, tmp_path):
+    c = Engine(spark).connect(f"file://{tmp_path}/x")
+    c.close()
+    with pytest.raises(errors.WrongStatementError):
+        c.create_statement("SELECT a FROM t;")
+
+
+COLUMNS = {"student": ["sid", "grad_year", "major_id", "sname"], "dept": ["did", "dname"], "enroll": ["student_id", "section_id", "grade"], "name_dep": []}
+
+
+@st.composite
+def conjunctive(draw):
+    tables = draw(st.lists(st.sampled_from(["student", "dept", "enroll"]), min_size=1, max_size=3, unique=True))
+    columns = [c for t in tables for c in COLUMNS[t]]
+    constants = ["10", "20", "2020", "1", "'joe'", "'math'", "'A'", "true"]
+    terms = draw(st.lists(st.tuples(st.sampled_from(columns), st.sampled_from(columns + constants)), max_size=3))
+    fields = draw(st.lists(st.sampled_from(columns), min_size=1, max_size=3, unique=True))
+    clause = " WHERE " + " AND ".join(f"{a} = {b}" for a, b in terms) if terms else ""
+    return f"SELECT {', '.join(fields)} FROM {', '.join(tables)}{clause};"
+
+
+@pytest.fixture(scope="module")
+def both(spark, tmp_path_factory):
+    root = f"file://{tmp_path_factory.mktemp('both')}"
+    university.build(Engine(spark).connect(root))
+    return [Engine(spark).connect(root, p) for p in ("basic", "heuristic")]
+
+
+@settings(max_examples=12, deadline=None, suppress_health_check=list(HealthCheck))
+@given(sql=conjunctive())
+def test_planners_agree(both, sql):
+    assert rows(both[0], sql) == rows(both[1], sql)
+
+
+def test_changes_against_a_model(fresh):
+    rng = random.Random(11)
+    fresh.update("CREATE TABLE t (a INTEGER, b SMALLINT, c VARCHAR(4));")
+    model = []
+    for _ in range(30):
+        a, b, c = rng.randrange(5), rng.randrange(4), rng.choice("xyz")
+        kind = rng.random()
+        if kind < 0.5:
+            fresh.update(f"INSERT INTO t (a, b, c) VALUES ({a}, {b}, '{c}');")
+            model.append([a, b, c])
+        elif kind < 0.65:
+            hit = [r for r in model if r[0] == a and r[2] == c]
+            assert fresh.update(f"DELETE FROM t WHERE a = {a} AND c = '{c}';") == len(hit)
+            model = [r for r in model if r not in hit]
+        elif kind < 0.85:
+            hit = [r for r in model if r[1] == b]
+            assert fresh.update(f"UPDATE t SET c = '{c}' WHERE b = {b};") == len(hit)
+            for r in hit:
+                r[2] = c
+        else:
+            hit = [r for r in model if r[2] == c]
+            assert fresh.update(f"UPDATE t SET a = b WHERE c = '{c}';") == len(hit)
+            for r in hit:
+                r[0] = r[1]
+    assert rows(fresh, "SELECT a, b, c FROM t;") == sorted(map(tuple, model))
