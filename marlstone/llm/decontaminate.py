@@ -219,3 +219,26 @@ def brute_force(docs: list[tuple], benchmark: list[tuple], width: int = WIDTH) -
                     items |= found
         out[doc_id] = (len(w), len(covered), len(items), hashlib.sha256(",".join(sorted(items)).encode()).hexdigest())
     return out
+
+
+#: The columns of the digest query in DuckDB, for tables documents and benchmark.
+SQL = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
+items AS (
+  SELECT item_id::VARCHAR AS item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM benchmark),
+windows AS (
+  SELECT DISTINCT item_id, array_to_string(words[i:i + 9], ' ') AS phrase, least(len(words), 10) AS n
+  FROM (SELECT item_id, words, unnest(range(1, greatest(len(words) - 9, 1) + 1)) AS i FROM items WHERE len(words) > 0)),
+places AS (
+  SELECT r, i, n, array_to_string(words[i:i + n - 1], ' ') AS phrase
+  FROM (SELECT r, words, n, unnest(range(1, len(words) - n + 2)) AS i FROM docs, (SELECT DISTINCT n FROM windows))),
+matches AS (SELECT r, i, n, item_id FROM places JOIN windows USING (phrase, n)),
+hits AS (SELECT r, count(DISTINCT place) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS place FROM matches) GROUP BY r),
+found AS (SELECT r, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS line FROM (SELECT DISTINCT r, item_id FROM matches) GROUP BY r)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(line, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN hits USING (r) LEFT JOIN found USING (r)
+"""
