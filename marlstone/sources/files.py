@@ -1,7 +1,11 @@
-"""The few file operations the catalog needs, on any store that Hadoop's client reaches."""
+"""The few file operations the catalog needs, on any store that Hadoop's client reaches; on the driver's own disk they go
+without it, for its client starts a process for each new file."""
 
 from __future__ import annotations
 
+import os
+import re
+import shutil
 import time
 import uuid
 
@@ -11,8 +15,61 @@ from marlstone.errors import LockTimeoutError
 
 
 class Files:
+    """On the driver's disk, in a folder."""
+
+    def __init__(self, root: str) -> None:
+        self.root = root
+
+    def _path(self, name: str) -> str:
+        return f"{local(self.root)}/{name}" if name else local(self.root)
+
+    def names(self, folder: str) -> list[str]:
+        path = self._path(folder)
+        return os.listdir(path) if os.path.isdir(path) else []
+
+    def read(self, name: str) -> str:
+        with open(self._path(name), encoding="utf-8") as f:
+            return f.read()
+
+    def publish(self, name: str, text: str) -> None:
+        """Writes beside the file and renames, so that a reader finds all of it or nothing."""
+        path = self._path(name)
+        beside = f"{path}.{uuid.uuid4().hex}.tmp"
+        os.makedirs(os.path.dirname(path), exist_ok=True)
+        with open(beside, "w", encoding="utf-8") as f:
+            f.write(text)
+            f.flush()
+            os.fsync(f.fileno())
+        os.replace(beside, path)
+
+    def delete(self, path: str) -> None:
+        path = local(path)
+        shutil.rmtree(path) if os.path.isdir(path) else os.remove(path)
+
+    def lock(self, name: str, seconds: float) -> None:
+        until = time.monotonic() + seconds
+        while not self._created(name):
+            if time.monotonic() > until:
+                raise LockTimeoutError(f"another writer holds {self.root}/{name}")
+            time.sleep(0.02)
+
+    def _created(self, name: str) -> bool:
+        os.makedirs(self._path(""), exist_ok=True)
+        try:
+            os.close(os.open(self._path(name), os.O_CREAT | os.O_EXCL))
+            return True
+        except FileExistsError:
+            return False
+
+    def unlock(self, name: str) -> None:
+        os.remove(self._path(name))
+
+
+class HadoopFiles(Files):
+    """On any other store."""
+
     def __init__(self, spark: SparkSession, root: str) -> None:
-        self.root = root.rstrip("/")
+        super().__init__(root)
         self.jvm = spark.sparkContext._jvm
         self.fs = self._path("").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
@@ -32,7 +89,6 @@ class Files:
             stream.close()
 
     def publish(self, name: str, text: str) -> None:
-        """Writes beside the file and renames, so that a reader finds all of it or nothing."""
         beside = self._path(f"{name}.{uuid.uuid4().hex}.tmp")
         stream = self.fs.create(beside, False)
         stream.write(bytearray(text.encode()))
@@ -43,13 +99,6 @@ class Files:
     def delete(self, path: str) -> None:
         self.fs.delete(self.jvm.org.apache.hadoop.fs.Path(path), True)
 
-    def lock(self, name: str, seconds: float) -> None:
-        until = time.monotonic() + seconds
-        while not self._created(name):
-            if time.monotonic() > until:
-                raise LockTimeoutError(f"another writer holds {self.root}/{name}")
-            time.sleep(0.05)
-
     def _created(self, name: str) -> bool:
         try:
             self.fs.create(self._path(name), False).close()
@@ -61,3 +110,17 @@ class Files:
 
     def unlock(self, name: str) -> None:
         self.fs.delete(self._path(name), False)
+
+
+def local(path: str) -> str:
+    return re.sub(r"^file:/+", "/", path)
+
+
+def files(spark: SparkSession, root: str) -> Files:
+    """For a folder given with or without a scheme; without one it is on Hadoop's default store."""
+    root = root.rstrip("/")
+    scheme = re.match(r"(\w+):/", root)
+    default = spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS", "file:///")
+    if scheme[1] == "file" if scheme else default.startswith("file:"):
+        return Files(root)
+    return HadoopFiles(spark, root)

@@ -1,4 +1,8 @@
 import math
+import os
+import shutil
+import subprocess
+import sys
 
 import duckdb
 import pytest
@@ -33,3 +37,12 @@ def test_against_oracle(spark, sf, name):
 def test_entry(spark):
     assert e.entry(spark).count() == 25
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_without_the_optional_folder(tmp_path):
+    root = os.path.dirname(os.path.abspath(e.__file__))
+    shutil.copytree(f"{root}/marlstone", tmp_path / "marlstone", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(f"{root}/__spark_entry__.py", tmp_path)
+    code = "import __spark_entry__ as e; assert set(e.oracle_sql()) <= set(e.queries()); print(len(e.queries()))"
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={**os.environ, "PYTHONPATH": str(tmp_path)}, capture_output=True, text=True, timeout=120)
+    assert done.returncode == 0 and int(done.stdout) == len(engine.queries()), done.stderr

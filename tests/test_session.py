@@ -141,6 +141,19 @@ def test_second_connection_and_lock(spark, fresh, monkeypatch):
     assert other.update("INSERT INTO t (a) VALUES (3);") == 1 and other.commit() == fresh.rollback() == 3
 
 
+def test_on_hadoops_client(spark, tmp_path, monkeypatch):
+    from marlstone.sources.files import HadoopFiles
+
+    monkeypatch.setattr(cat, "files", HadoopFiles)
+    c = university.build(Engine(spark).connect(f"file://{tmp_path}/db"), ("dept",))
+    assert c.update("DELETE FROM dept WHERE did = 10;") == 1 and rows(c, "SELECT did FROM dept;") == [(20,), (30,)]
+    monkeypatch.setattr(cat, "LOCK_SECONDS", 0.2)
+    with c.store.change(), pytest.raises(errors.LockTimeoutError):
+        c.update("DELETE FROM dept;")
+    c.store.vacuum()
+    assert rows(c, "SELECT did FROM dept;") == [(20,), (30,)]
+
+
 def test_inserts_settle_into_files(fresh, monkeypatch):
     monkeypatch.setattr(cat, "TAIL_ROWS", 4)
     fresh.update("CREATE TABLE t (a INTEGER, d DATE);")
