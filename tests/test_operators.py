@@ -36,7 +36,7 @@ def test_broadcast_needs_a_small_side(student, dept, spark, monkeypatch):
     small = spark.range(3).selectExpr("cast(id * 10 as int) as did")
     assert "BroadcastHashJoin" in plan_of(R.index_join(student, small, "major_id", "did"))
     monkeypatch.setattr(R, "BROADCAST_BYTES", 1)
-    assert not R.small(small) and R.index_join(student, small, "major_id", "did").count() == 6
+    assert not R.small(small) and R.index_join(student, small, "major_id", "did").count() == 7
 
 
 def test_widened_keys(student, spark):
