@@ -27,7 +27,7 @@ def slow_model(texts):
     def p1(c):
         total = sum(one.values())
         left = sum(d1[min(n, 3)] for n in one.values()) / total
-        return (one[c] - d1[min(one[c], 3)]) / total + left / len(known | {"<other>"} - {"<s>"} - {"</s>"} | {"</s>", "<other>"})
+        return (one[c] - d1[min(one[c], 3)]) / total + left / len((known | {"<other>"}) - {"<s>"})
 
     def step(counts, d, context, c, low):
         own = {k: n for k, n in counts.items() if k[:-1] == context}

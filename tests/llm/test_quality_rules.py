@@ -48,8 +48,8 @@ def test_empty_tables(spark, table):
 
 
 def test_ratio(spark, table):
-    docs = [(i, " ".join(f"good{(i * 7 + k) % 50}" for k in range(60))) for i in range(60)] + [(100 + i, " ".join(f"bad{(i * 5 + k) % 50}" for k in range(60))) for i in range(30)]
-    out = q.judge(table(docs), spark.createDataFrame([(i, 1, 0) for i in range(20)], "doc_id long, quality int, toxic int"), buckets=1 << 14).collect()
+    docs = [(i, " ".join(f"good{(i * 7 + k) % 50}" for k in range(45))) for i in range(60)] + [(100 + i, " ".join(f"bad{(i * 5 + k) % 50}" for k in range(45))) for i in range(30)]
+    out = q.judge(table(docs), spark.createDataFrame([(i, 1, 0) for i in range(20)], "doc_id long, quality int, toxic int"), z=4.0, buckets=1 << 10).collect()
     assert {r.doc_id for r in out if r.kept} == set(range(60))
     assert [tuple(r) for r in q.trusted_ids(spark.createDataFrame([(i, 1) for i in range(50)], "doc_id long, quality int"), 5).orderBy("doc_id").collect()] == [tuple(r) for r in q.trusted_ids(spark.createDataFrame([(i, 1) for i in range(50)], "doc_id long, quality int").repartition(7), 5).orderBy("doc_id").collect()]
 
