@@ -11,12 +11,16 @@ from marlstone.plans.explain import text
 from marlstone.session import Connection, Engine, ResultSet
 from marlstone.types import Kind
 
-HELP = """\
-:h, :help                       Show this help
-:q, :quit, :exit                Quit the program
-:t, :table   <table_name>       Show table schema
-:v, :view    <view_name>        Show view definition
-:e, :explain <sql>              Explain plan"""
+HELP = "\n".join(
+    f"{names:<24}{what}"
+    for names, what in [
+        (":h :help", "list the commands"),
+        (":t :table NAME", "columns of a table and their indexes"),
+        (":v :view NAME", "text of a view"),
+        (":e :explain SELECT ...", "plan of a query with its costs"),
+        (":q :quit :exit", "leave"),
+    ]
+)
 
 
 def shown(result: ResultSet, out: Callable[[str], None]) -> int:
@@ -40,11 +44,11 @@ def meta(connection: Connection, line: str, out: Callable[[str], None]) -> bool:
         out(HELP)
     elif command in (":q", ":quit", ":exit"):
         connection.close()
-        out("disconnected.")
+        out("closed")
         return False
     elif command in (":t", ":table"):
         if not rest:
-            out("table name is required.\nIf you want to show all tables, try:\nSELECT tblname FROM tblcat;")
+            out("which table? SELECT tblname FROM tblcat; lists them")
         else:
             indexes = connection.index_info(rest)
             for c in connection.table_schema(rest).columns:
@@ -52,16 +56,16 @@ def meta(connection: Connection, line: str, out: Callable[[str], None]) -> bool:
                 out(f"{c.name:<20} {kind:<15} {indexes.get(c.name, '')}".rstrip())
     elif command in (":v", ":view"):
         if not rest:
-            out("view name is required.\nIf you want to show all views, try:\nSELECT viewname, viewdef FROM viewcat;")
+            out("which view? SELECT viewname FROM viewcat; lists them")
         else:
             out("{}: {}".format(*connection.view_definition(rest)))
     elif command in (":e", ":explain"):
         if rest.split(" ")[0].lower() == "select":
             out(text(connection.create_statement(rest).explain_plan()))
         else:
-            out("expect query(not command)." if rest else "SQL is required.")
+            out("only queries have plans")
     else:
-        out(f"Unknown command: {command}")
+        out(f"no command {command}; :help lists them")
     return True
 
 
