@@ -5,9 +5,9 @@ A page is cut into blocks (lines of text). Blocks in an element that the markup
 article or main element are kept: the contract lets nothing of an article be dropped, and articles of one host do share
 lines. What the markup doesn't decide, on pages without such an element, is decided by differencing: pages are ordered by
 URL path within their host, each is paired with the neighbour whose path has the longer common start, their lines are
-aligned by longest common subsequence, and shared lines are deleted. A page alone on its host keeps its lines.
+aligned by longest common subsequence, and shared lines are deleted. One that is alone on its host keeps its lines.
 
-Pages are dealt out by ranges of (host, path, page_id), so a host with a third of all pages is spread over many tasks. A
+Those pages are dealt out by ranges of (host, path, page_id), so a host with a third of all pages is spread over many tasks. A
 range's first and last page may have their neighbour in another range; those few rows, two for each range, are paired in
 one more step. The lines of a neighbour are all that is held.
 
@@ -45,6 +45,8 @@ CHROME = re.compile(
     r"masthead|menu|modal|nav|navbar|navigation|newsletter|notice|popup|promo|promotion|related|replies|respond|share|sharing|sidebar|side-bar|signup|social|sponsor(?:ed)?|subscribe|toolbar|widget)(?:$|[\s_-])",
     re.IGNORECASE,
 )
+#: Names such as has-sidebar are of what surrounds the thing.
+AROUND = ("has-", "has_", "no-", "no_", "with-", "with_", "without-")
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu", "menubar"}
 
 _TAG = re.compile(r"<(?:!--(?P<note>)|!|\?|(?P<close>/)?(?P<name>[A-Za-z][^\s/>]*))")
@@ -55,7 +57,7 @@ _ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*
 def is_chrome(attributes: str) -> bool:
     for name, value in _ATTRIBUTE.findall(attributes) if attributes.strip() else ():
         name, value = name.lower(), value.strip("\"'")
-        if name in ("class", "id") and CHROME.search(value) or name == "role" and value.lower() in ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
+        if name in ("class", "id") and any(CHROME.search(w) for w in value.split() if not w.lower().startswith(AROUND)) or name == "role" and value.lower() in ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
             return True
     return False
 
@@ -135,23 +137,28 @@ def shared_lines(a: list[str], b: list[str]) -> set[int]:
     x, y = x[start : len(x) - end], y[start : len(y) - end]
     common = np.intersect1d(x, y)
     own = np.flatnonzero(np.isin(x, common))
-    x, y = x[own], y[np.isin(y, common)]
-    table = np.zeros((len(x) + 1, len(y) + 1), np.int32)
-    for i in range(len(x) - 1, -1, -1):
-        best = np.maximum(table[i + 1, :-1], np.where(y == x[i], table[i + 1, 1:] + 1, 0))
-        table[i, :-1] = np.maximum.accumulate(best[::-1])[::-1]
-    i = j = 0
-    while i < len(x) and j < len(y):
-        if x[i] == y[j] and table[i, j] == table[i + 1, j + 1] + 1:
-            found.add(start + int(own[i]))
-            i, j = i + 1, j + 1
-        elif table[i + 1, j] >= table[i, j + 1]:
-            i += 1
-        else:
-            j += 1
+    found.update(start + int(own[i]) for i in aligned(x[own], y[np.isin(y, common)]))
     return found
 
 
+def lengths(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Of the longest common subsequences of x and each prefix of y."""
+    row = np.zeros(len(y) + 1, np.int32)
+    for code in x:
+        row[1:] = np.maximum.accumulate(np.maximum(row[1:], np.where(y == code, row[:-1] + 1, 0)))
+    return row
+
+
+def aligned(x: np.ndarray, y: np.ndarray, at: int = 0) -> list[int]:
+    """Indexes of x in a longest common subsequence of x and y. Both are halved again and again (Hirschberg), so memory
+    grows with their lengths and not with the product."""
+    if len(x) <= 1 or not len(y):
+        return [at] if len(x) and (y == x[0]).any() else []
+    half = len(x) // 2
+    cut = int((lengths(x[:half], y) + lengths(x[half:][::-1], y[::-1])[::-1]).argmax())
+    return aligned(x[:half], y[:cut], at) + aligned(x[half:], y[cut:], at + half)
+
+
 @dataclass
 class Page:
     page_id: int | None
@@ -203,12 +210,12 @@ def linked(pages: Iterator[Page], edges_known: bool) -> Iterator[Page]:
 
 
 HOST, PATH = r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^#]*)"
-_PAGE = "page_id long, url string, host string, path string, sure boolean, lines array<string>, edge int, path0 string, lines0 array<string>, path1 string, lines1 array<string>"
+_PAGE = "page_id long, url string, host string, path string, lines array<string>, edge int, path0 string, lines0 array<string>, path1 string, lines1 array<string>"
 
 
 def _rows(pages: Iterator[Page]) -> Iterator[pa.RecordBatch]:
-    kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.list_(pa.string()), pa.int32(), pa.string(), pa.list_(pa.string()), pa.string(), pa.list_(pa.string())]
-    names = ["page_id", "url", "host", "path", "sure", "lines", "edge", "path0", "lines0", "path1", "lines1"]
+    kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.list_(pa.string()), pa.int32(), pa.string(), pa.list_(pa.string()), pa.string(), pa.list_(pa.string())]
+    names = ["page_id", "url", "host", "path", "lines", "edge", "path0", "lines0", "path1", "lines1"]
 
     def batch(held: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in held], kind) for i, kind in enumerate(kinds)], names)
@@ -217,9 +224,9 @@ def _rows(pages: Iterator[Page]) -> Iterator[pa.RecordBatch]:
     for p in pages:
         if p.edge:  # kept for the step over edges; its neighbours' lines go along
             (path0, lines0), (path1, lines1) = (o or (None, None) for o in p.others)
-            held.append((p.page_id, p.url, p.host, p.path, p.sure, p.lines, p.edge, path0, lines0, path1, lines1))
+            held.append((p.page_id, p.url, p.host, p.path, p.lines, p.edge, path0, lines0, path1, lines1))
         else:
-            held.append((p.page_id, p.url, p.host, p.path, p.sure, [p.text()], 0, None, None, None, None))
+            held.append((p.page_id, p.url, p.host, p.path, [p.text()], 0, None, None, None, None))
         if len(held) >= 500:
             yield batch(held)
             held = []
@@ -237,23 +244,26 @@ def main_text(pages: DataFrame) -> DataFrame:
         "html",
     )
 
-    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def parse(batches: Iterator[pa.RecordBatch], sure: bool) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [parsed(*row) for row in zip(*(c.to_pylist() for c in b.columns), strict=True)]
-            columns = [pa.array([p.sure for p in found], pa.bool_()), pa.array([p.lines for p in found], pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays([*b.columns[:4], *columns], ["page_id", "url", "host", "path", "sure", "lines"])
+            found = [p for row in zip(*(c.to_pylist() for c in b.columns), strict=True) if (p := parsed(*row)).sure is sure]
+            last = [pa.array([p.text() for p in found], pa.string())] if sure else [pa.array([p.host for p in found], pa.string()), pa.array([p.path for p in found], pa.string()), pa.array([p.lines for p in found], pa.list_(pa.string()))]
+            columns = [pa.array([p.page_id for p in found], pa.int64()), pa.array([p.url for p in found], pa.string()), *last]
+            yield pa.RecordBatch.from_arrays(columns, ["page_id", "url", *(["text"] if sure else ["host", "path", "lines"])])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[Page]:
         for b in batches:
-            for page_id, url, host, path, sure, lines, *known in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for page_id, url, host, path, lines, *known in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 edge, path0, lines0, path1, lines1 = known or (0, None, None, None, None)
                 others = (None if lines0 is None else (path0, lines0), None if lines1 is None else (path1, lines1))
-                yield Page(page_id, url, host, path, sure, lines, edge, others)
+                yield Page(page_id, url, host, path, False, lines, edge, others)
 
-    lines = keyed.mapInArrow(parse, "page_id long, url string, host string, path string, sure boolean, lines array<string>")
-    ordered = written(lines, "lines").repartitionByRange("host", "path", "page_id").sortWithinPartitions("host", "path", "page_id")
+    # Pages are parsed once more rather than kept on disk: those that need no neighbour are then done.
+    decided = keyed.mapInArrow(lambda batches: parse(batches, True), "page_id long, url string, text string")
+    open_ = keyed.mapInArrow(lambda batches: parse(batches, False), "page_id long, url string, host string, path string, lines array<string>")
+    ordered = open_.repartitionByRange("host", "path", "page_id").sortWithinPartitions("host", "path", "page_id")
     done = written(ordered.mapInArrow(lambda batches: _rows(linked(read(batches), False)), _PAGE), "texts")
     edges = done.where("edge > 0").repartition(1).sortWithinPartitions("host", "path", "page_id")
     text = F.when(F.size("lines") > 0, F.element_at("lines", 1)).otherwise(F.lit(""))
     rest = edges.mapInArrow(lambda batches: _rows(linked(read(batches), True)), _PAGE)
-    return done.where("edge = 0").union(rest).select("page_id", "url", text.alias("text"))
+    return done.where("edge = 0").union(rest).select("page_id", "url", text.alias("text")).union(decided)

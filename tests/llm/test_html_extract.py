@@ -25,6 +25,7 @@ def text(page):
         ("<article><header>h</header><pre>x\n  y</pre><table><tr><td>1<td>2<tr><td>3</table></article>", "x y\n1\n2\n3"),
         ("plain text only", "plain text only"),
         ('<article><div role="navigation">n</div><p hidden>h</p><div aria-hidden="true">z</div><p class=lead>k</p></article>', "k"),
+        ('<div class="page has-sidebar no-ads"><main><p>kept</p><div class="main sidebar">gone</div></main></div>', "kept"),
         ("<ARTICLE><P>Up</P><SCRIPT>x</SCRIPT ><P>per</ARTICLE>", "Up\nper"),
     ],
 )
