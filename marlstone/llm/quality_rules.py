@@ -39,9 +39,17 @@ def bound(value: Column, use) -> Column:
 
 
 def windows(hashes: Column, width: int = WINDOW) -> Column:
-    """A hash of each window of ``width`` words; none for a shorter text."""
-    last = F.size(hashes) - (width - 1)
-    return F.when(last > 0, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.xxhash64(F.slice(hashes, i, width)))).otherwise(F.array().cast("array<bigint>"))
+    """A hash of each window of ``width`` words, a power of two, from those of its halves; none for a shorter text."""
+
+    def doubled(a: Column, step: int) -> Column:
+        n = F.greatest(F.size(a) - step, F.lit(0))
+        return F.zip_with(F.slice(a, 1, n), F.slice(a, step + 1, n), lambda x, y: F.xxhash64(x, y))
+
+    step = 1
+    while step < width:
+        hashes = bound(hashes, lambda a, step=step: doubled(a, step))
+        step *= 2
+    return hashes
 
 
 def repeated_words(hashes: Column, width: int = WINDOW) -> Column:
@@ -58,16 +66,19 @@ def repeated_words(hashes: Column, width: int = WINDOW) -> Column:
     return bound(windows(hashes, width), lambda seen: F.when(F.size(F.array_distinct(seen)) < F.size(seen), covered(seen)).otherwise(F.lit(0).cast("long")))
 
 
-def features(hashes: Column, buckets: int = BUCKETS) -> Column:
-    """Buckets of a text's words, then those of its pairs of neighbouring words."""
-    half = buckets // 2
-    one = F.transform(hashes, lambda h: F.pmod(h, F.lit(half)).cast("int"))
-    two = F.transform(F.slice(hashes, 2, F.greatest(F.size(hashes) - 1, F.lit(0))), lambda h, i: (F.pmod(F.xxhash64(F.get(hashes, i), h), F.lit(half)) + half).cast("int"))
-    return F.concat(one, two)
+def grams(docs: DataFrame, keep: list[str], buckets: int = BUCKETS) -> DataFrame:
+    """The columns to keep and bucket: a row for each word of column words and for each pair of neighbours. The last
+    word's pair has a null bucket, and so have both rows of a text without words."""
+    n, half = F.size("words"), buckets // 2
+    pairs = F.arrays_zip(F.col("words").alias("a"), F.slice("words", F.lit(2), F.greatest(n - 1, F.lit(0))).alias("b"))
+    rows = docs.select(*keep, F.explode_outer(pairs).alias("pair")).select(*keep, "pair.a", "pair.b")
+    one = F.when(F.col("a").isNotNull(), F.pmod(F.xxhash64("a"), F.lit(half)).cast("int"))
+    two = F.when(F.col("b").isNotNull(), (F.pmod(F.xxhash64("a", "b"), F.lit(half)) + half).cast("int"))
+    return rows.select(*keep, F.explode(F.array(one, two)).alias("bucket"))
 
 
 def base_rules(docs: DataFrame) -> DataFrame:
-    """doc_id, the base counts, base_failed, and hashes, the words' hashes."""
+    """doc_id, the base counts, base_failed, and words."""
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     split = docs.select(F.col("doc_id").cast("long").alias("doc_id"), words().alias("words"), F.regexp_count(text, F.lit(SYMBOLS)).cast("long").alias("n_symbols"), bound(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"))
@@ -77,9 +88,10 @@ def base_rules(docs: DataFrame) -> DataFrame:
         F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
         "n_symbols",
         "n_dup_lines",
+        "words",
         F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"),
     )
-    counted = hashed.withColumn("n_repeat_words", bound(F.col("hashes"), repeated_words))
+    counted = hashed.withColumn("n_repeat_words", bound(F.col("hashes"), repeated_words)).drop("hashes")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     return counted.withColumn("base_failed", failed)
 
@@ -93,10 +105,9 @@ def trusted_ids(labels: DataFrame, most: int = TRUSTED) -> DataFrame:
 def ratios(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """For each bucket with an n-gram: bucket, raw and trusted probability p and q, and llr = log(q / p); both
     multinomials have one added to every bucket."""
-    hashed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.transform(words(), lambda w: F.xxhash64(w)).alias("hashes"))
-    marked = hashed.join(F.broadcast(trusted.withColumn("good", F.lit(1))), "doc_id", "left")
-    grams = marked.select("good", F.explode(bound(F.col("hashes"), lambda h: features(h, buckets))).alias("bucket"))
-    counts = grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.coalesce(F.sum("good"), F.lit(0)).alias("own"))
+    split = docs.select(F.col("doc_id").cast("long").alias("doc_id"), words().alias("words"))
+    marked = split.join(F.broadcast(trusted.withColumn("good", F.lit(1))), "doc_id", "left")
+    counts = grams(marked, ["good"], buckets).where(F.col("bucket").isNotNull()).groupBy("bucket").agg(F.count("*").alias("raw"), F.coalesce(F.sum("good"), F.lit(0)).alias("own"))
     counts = written(counts, "ngrams")
     total = counts.agg(F.sum("raw"), F.sum("own")).first()
     raw, own = (total[0] or 0) + buckets, (total[1] or 0) + buckets
@@ -114,8 +125,7 @@ def judge(docs: DataFrame, labels: DataFrame, z: float = Z, buckets: int = BUCKE
     spread = max(0.0, square - mean * mean) ** 0.5
     based = base_rules(docs).withColumn("row", F.monotonically_increasing_id())
     kept = ["row", "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
-    grams = based.select(*kept, F.explode_outer(bound(F.col("hashes"), lambda h: features(h, buckets))).alias("bucket"))
-    scored = grams.join(F.broadcast(model.select("bucket", "llr")), "bucket", "left").groupBy(*kept).agg(F.sum("llr").alias("total"), F.count("bucket").alias("n"))
+    scored = grams(based, kept, buckets).join(F.broadcast(model.select("bucket", "llr")), "bucket", "left").groupBy(*kept).agg(F.sum("llr").alias("total"), F.count("bucket").alias("n"))
     score = F.when(F.col("n") > 0, F.col("total") / F.col("n")).otherwise(F.lit(0.0))
     threshold = F.lit(mean) - z * spread / F.sqrt(F.greatest(F.col("n"), F.lit(1)))
     judged = scored.withColumn("score", F.coalesce(score, F.lit(0.0))).withColumn("threshold", threshold)
