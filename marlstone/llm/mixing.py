@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from marlstone.llm.common import written
 
 WEIGHTS, SHARE, REPEATS, SEED = (3.0, 1.0, 2.0), 1.5, 2.0, 7
-RANGE_ROWS, RANGES = 16_384, 10_000
+RANGE_ROWS, RANGES = 1024, 10_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
