@@ -39,7 +39,7 @@ def counts(data: bytes, dimensions: int = DIMENSIONS) -> np.ndarray:
 
 
 def unit(x: np.ndarray) -> np.ndarray:
-    return x / np.maximum(np.linalg.norm(x, axis=-1, keepdims=True), 1e-12)
+    return x / np.maximum(np.linalg.norm(x, axis=-1, keepdims=True), 1e-12).astype(x.dtype)
 
 
 @dataclass
@@ -75,8 +75,10 @@ def fit_rows(texts: list[bytes], languages: list[str], clusters: int = CLUSTERS,
     x = np.zeros((len(texts), dimensions), np.float32)
     for i, t in enumerate(texts):
         x[i] = np.log1p(counts(t, dimensions))
-    idf = np.log((1 + len(texts)) / (1 + (x > 0).sum(axis=0))) + 1
-    x = unit(x * idf).astype(np.float32)
+    idf = (np.log((1 + len(texts)) / (1 + np.count_nonzero(x, axis=0))) + 1).astype(np.float32)
+    x *= idf  # in place: the sample's vectors are most of the driver's memory
+    for row in x:
+        row /= max(float(np.linalg.norm(row)), 1e-12)
     names, centroids, floors = [], [], []
     told = np.array(languages)
     for language in sorted(set(languages)):
@@ -107,19 +109,21 @@ def fit(rows: DataFrame, clusters: int = CLUSTERS, per_language: int = PER_LANGU
     return fit_rows([t for _, t in taken], [lang for lang, _ in taken], clusters, slack)
 
 
-def predict(docs: DataFrame, model: Model, *columns: str) -> DataFrame:
-    """The given columns of docs, then lang_pred, score and rejected."""
+def predict(docs: DataFrame, model: Model, *columns: str, text: str = "text", with_text: bool = False) -> DataFrame:
+    """The given columns of docs, the text if asked for, then lang_pred, score and rejected. The text goes to Python once,
+    as bytes."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    kept = docs.select(*columns)
+    kept = docs.select(*columns, text_bytes(text).alias("__text"))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [shared.value.predict(x) for x in b.column(b.num_columns - 1).to_pylist()]
             made = [pa.array([f[i] for f in found], kind) for i, kind in enumerate((pa.string(), pa.float64(), pa.bool_()))]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *made], [*b.schema.names[:-1], "lang_pred", "score", "rejected"])
+            last = b.num_columns if with_text else b.num_columns - 1
+            yield pa.RecordBatch.from_arrays([*b.columns[:last], *made], [*b.schema.names[:last], "lang_pred", "score", "rejected"])
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema), "lang_pred string, score double, rejected boolean"])
-    return docs.select(*columns, text_bytes().alias("__bytes")).mapInArrow(rows, schema)
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema][: None if with_text else -1]
+    return kept.mapInArrow(rows, ", ".join([*fields, "lang_pred string, score double, rejected boolean"]))
 
 
 def held_out():
@@ -131,5 +135,7 @@ def accepted(docs: DataFrame) -> DataFrame:
     """The rows of docs whose language is recognised, all columns as they are; learns from the labelled rows of docs
     outside the held-out third."""
     model = fit(docs.where(F.coalesce(~held_out(), F.lit(True))))
-    marked = predict(docs.select(*(F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)), F.col("text")), model, *(f"c{i}" for i in range(len(docs.columns))))
-    return marked.where(~F.col("rejected")).select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)))
+    other = {c: f"c{i}" for i, c in enumerate(docs.columns) if c != "text"}
+    plain = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in other.items()), F.col("text"))
+    marked = predict(plain, model, *other.values(), with_text=True).where(~F.col("rejected"))
+    return marked.select(*(F.col(other[c]).alias(c) if c in other else F.col("__text").cast("string").alias(c) for c in docs.columns))
