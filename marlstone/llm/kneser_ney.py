@@ -1,16 +1,13 @@
 """Quality classifier: interpolated modified Kneser-Ney trigram model of trusted text, perplexity per document, thresholds
 by language.
 
-The model is fitted on a bounded sample of the documents labelled as good: those with the smallest hashes of doc_id, at
-most ``TRAIN_DOCS`` and, in that order, at most ``TRAIN_WORDS`` words. Trigram counts, the continuation counts below them
-and the contexts' sums are aggregated and joined by keys in Spark; the finished tables, bounded by the sample, are cut by
-a hash of the key into ``SHARDS`` shards. A task gives the n-grams of its documents to the shards and takes one sorted
-table after the other; every n-gram of every document is scored.
+``classify`` counts the n-grams of all trusted documents in hash shards (``ngram_shards``). ``fit`` makes the same model of a
+bounded sample as tables in memory, for small inputs.
 
 Perplexity is per word, with an end mark after each text; unknown words share what the model leaves to them. The threshold
-of a language is the quantile ``QUANTILE`` of the perplexities of all its trusted documents outside the sample (of all
-trusted ones where there are none), times ``SLACK``; a language without trusted documents has the threshold of all. A
-document is kept if its perplexity is at most the threshold.
+of a language is the quantile ``QUANTILE`` of the perplexities of its trusted documents, each by the counts without its own,
+times ``SLACK``; a language without trusted documents has the threshold of all. A document is kept if its perplexity is at
+most the threshold.
 
 Null and empty texts have only the end mark to predict and are not kept. A null language is a language of its own.
 Repeated rows are scored one by one. With nothing to learn from, everything with a word is kept.
@@ -26,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marlstone.llm import ngram_shards
 from marlstone.llm.common import space_words, text_bytes, written
 
 TRAIN_DOCS, TRAIN_WORDS, SHARDS, QUANTILE, SLACK = 4000, 1_000_000, 8, 0.995, 1.5
@@ -186,21 +184,18 @@ def perplexity(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), text_bytes()).mapInArrow(rows, "doc_id long, lang string, n_words long, perplexity double")
 
 
-def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, slack: float = SLACK, most: int = TRAIN_DOCS, most_words: int = TRAIN_WORDS) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, slack: float = SLACK) -> DataFrame:
     """doc_id, lang, n_words, perplexity, threshold and kept of every document."""
-    spark = docs.sparkSession
     trusted = labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    model, ids = fit(docs, trusted, most, most_words)
-    if model is None:
+    found = ngram_shards.perplexities(docs, trusted)
+    if found is None:
         empty = docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), F.size(F.array_remove(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), "")).cast("long").alias("n_words"))
         return empty.select("*", F.lit(None).cast("double").alias("perplexity"), F.lit(None).cast("double").alias("threshold"), (F.col("n_words") > 0).alias("kept"))
-    scored = written(perplexity(docs, model), "perplexity")
-    used = spark.createDataFrame([(i,) for i in ids], "doc_id long").withColumn("used", F.lit(True))
-    told = scored.where("n_words > 0").join(trusted, "doc_id", "left_semi").join(F.broadcast(used), "doc_id", "left")
-    at = lambda column: F.percentile_approx(column, F.lit(quantile), F.lit(10_000))
-    outside = F.when(F.col("used").isNull(), F.col("perplexity"))
-    limits = told.groupBy("lang").agg(F.coalesce(at(outside), at(F.col("perplexity"))).alias("limit"))
-    every = told.agg(F.coalesce(at(outside), at(F.col("perplexity")))).first()[0]
+    scored = written(found, "perplexity")
+    told = scored.where("n_words > 0 and own is not null")
+    at = F.percentile_approx("own", F.lit(quantile), F.lit(10_000))
+    limits = told.groupBy("lang").agg(at.alias("limit"))
+    every = told.agg(at).first()[0]
     key = F.coalesce(F.concat(F.lit("s"), F.col("lang")), F.lit("n"))
     joined = scored.withColumn("key", key).join(limits.select(key.alias("key"), "limit"), "key", "left")
     joined = joined.withColumn("threshold", F.coalesce("limit", F.lit(every)) * slack)

@@ -5,6 +5,7 @@ from collections import Counter
 import pytest
 
 from marlstone.llm import kneser_ney as kn
+from marlstone.llm import ngram_shards
 
 
 def slow_model(texts):
@@ -94,3 +95,34 @@ def test_empty_tables(spark, table):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert kn.classify(table([]), none).count() == 0
     assert {r.doc_id: r.kept for r in kn.classify(table([(1, "a b"), (2, None)]), none).collect()} == {1: True, 2: False}
+
+
+def test_counts_cover_all_trusted_documents(spark, table):
+    """Over many chunks and shards, as the definition has it over every trusted document."""
+    docs = docs_of()
+    rows = [*docs, (100, "unseen words here", "en"), (101, "", "fr"), (102, None, None), docs[3], (103, "W1 w2", None)]
+    trusted = spark.createDataFrame([(i,) for i in range(50)], "doc_id long")
+    slow = slow_model([t for d, t, _ in rows if d < 50])
+    text = {d: t for d, t, _ in rows}
+    out = ngram_shards.perplexities(table(rows), trusted, shard_bytes=1000).collect()
+    assert sorted(r.doc_id for r in out) == sorted(r[0] for r in rows)
+    for r in out:
+        assert r.perplexity == pytest.approx(slow(text[r.doc_id] or ""), rel=1e-4)
+        assert (r.own is not None) == (r.doc_id < 50) and (r.own is None or r.own > r.perplexity)
+
+
+def test_own_counts_are_left_out(spark, table, monkeypatch):
+    """own is what the counts of the other documents give, with the discounts and the number of words of all."""
+    docs, told, seen = docs_of(), {}, []
+    real, cuts = ngram_shards.settings, ngram_shards.discounts
+    ids = lambda some: spark.createDataFrame([(i,) for i in some], "doc_id long")
+    monkeypatch.setattr(ngram_shards, "discounts", lambda n: seen.append(cuts(n)) or seen[-1])
+    monkeypatch.setattr(ngram_shards, "settings", lambda made: told.update(real(made)) or dict(told))
+    own = {r.doc_id: r.own for r in ngram_shards.perplexities(table(docs), ids(range(12))).collect()}
+    all_cuts, size = list(seen), told["size"]
+    for i in (0, 5, 11):
+        again = iter(all_cuts)
+        monkeypatch.setattr(ngram_shards, "discounts", lambda n, again=again: next(again))
+        monkeypatch.setattr(ngram_shards, "settings", lambda made: {**real(made), "size": size})
+        found = {r.doc_id: r.perplexity for r in ngram_shards.perplexities(table(docs), ids(j for j in range(12) if j != i)).collect()}
+        assert own[i] == pytest.approx(found[i], rel=1e-6)
