@@ -1,3 +1,4 @@
+import hashlib
 import math
 import random
 from collections import Counter
@@ -126,3 +127,14 @@ def test_own_counts_are_left_out(spark, table, monkeypatch):
         monkeypatch.setattr(ngram_shards, "settings", lambda made: {**real(made), "size": size})
         found = {r.doc_id: r.perplexity for r in ngram_shards.perplexities(table(docs), ids(j for j in range(12) if j != i)).collect()}
         assert own[i] == pytest.approx(found[i], rel=1e-6)
+
+
+def test_a_long_trusted_text_ends_nothing(spark, table):
+    """A text of over a million words that comes first in the order of hashes leaves all other texts in the counts."""
+    first = min(range(1, 30), key=lambda i: hashlib.md5(str(i).encode()).hexdigest())
+    rows = [(i, f"a b c{i} d e f" if i != first else "very " * 1_000_001, "en") for i in range(1, 30)]
+    rows.append((40, " ".join(f"z{i}" for i in range(9)), "en"))
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(1, 30)], "doc_id long, quality int, toxic int")
+    out = {r.doc_id: r for r in kn.classify(table(rows), labels).collect()}
+    assert all(r.perplexity is not None and r.threshold is not None for r in out.values())
+    assert all(out[i].kept and out[i].perplexity < out[40].perplexity / 2 for i in range(1, 30))
