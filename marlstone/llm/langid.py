@@ -2,9 +2,15 @@
 
 A text is the vector of its hashed byte n-grams (1 to 3 bytes, A-Z lower-cased, ASCII bytes that aren't letters turned
 into single spaces): the counts' logarithms times the inverse document frequencies, of length one. Each language has up to
-``clusters`` centroids from spherical k-means. A text gets the language of the centroid with the greatest cosine; it is
-rejected if that cosine is below ``slack`` times the least cosine that the centroid's own training texts have but for one
-in two hundred.
+``clusters`` centroids from spherical k-means. A text gets the language of the centroid with the greatest cosine. A centroid
+with less than the share ``FOUNDED`` of its language's texts (one text of junk can be a centroid) can't vouch for a text: it
+is rejected if its cosine to the nearest of the others is below ``slack`` times the least that training texts of its length
+have but for one in two hundred.
+
+For that, the training texts of each language are cut to the lengths ``LENGTHS``, and each half of them is held against
+centroids of the other half, as new texts are. A text counts as the greatest of these lengths that is not longer than itself:
+shorter texts have lower cosines. A centroid with fewer than ``OWN`` texts of a length has the limit of its language, and a
+length that too few texts reach (``OWN``, or half of them) has that of the length before.
 
 The model is fitted on a bounded sample: at most ``per_language`` texts of a language, those with the smallest hash of
 doc_id, at most ``SAMPLE`` in all. Prediction reads whole texts of all rows and nothing but the text.
@@ -15,6 +21,7 @@ Repeated rows are predicted alike; ties go to the first centroid in order of lan
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,7 +32,8 @@ from pyspark.sql import functions as F
 
 from marlstone.llm.common import LOWER, text_bytes
 
-DIMENSIONS, CLUSTERS, PER_LANGUAGE, SAMPLE, SLACK = 4096, 4, 800, 4000, 0.2
+DIMENSIONS, CLUSTERS, PER_LANGUAGE, SAMPLE, SLACK = 4096, 4, 800, 4000, 1.0
+LENGTHS, OWN, REST, FOUNDED = tuple(1 << i for i in range(3, 13)), 200, 0.005, 0.01
 SHAPE = bytes(b if b > 127 or chr(b).isalpha() else 32 for b in LOWER)
 UNKNOWN = "und"
 
@@ -38,6 +46,11 @@ def counts(data: bytes, dimensions: int = DIMENSIONS) -> np.ndarray:
     return np.bincount(hashed, minlength=dimensions)
 
 
+def length_class(n: int) -> int:
+    """The greatest of LENGTHS that is at most n."""
+    return max(0, bisect.bisect_right(LENGTHS, n) - 1)
+
+
 def unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=-1, keepdims=True), 1e-12).astype(x.dtype)
 
@@ -47,16 +60,19 @@ class Model:
     idf: np.ndarray
     centroids: np.ndarray
     languages: list[str]  # of each centroid
-    floors: np.ndarray  # the least cosine that each centroid accepts
+    floors: np.ndarray  # the least cosine that each centroid accepts, by length
+    founded: np.ndarray  # which centroids stand for enough texts to accept one
 
     def predict(self, data: bytes | None) -> tuple[str, float, bool]:
         """Language, cosine and whether the text is rejected."""
         if not data or not len(self.centroids) or not any(map(str.isalpha, data.decode())):
             return UNKNOWN, 0.0, True
-        cosines = self.centroids @ unit(np.log1p(counts(data, len(self.idf))) * self.idf).astype(np.float32)
+        found = counts(data, len(self.idf))
+        cosines = self.centroids @ unit(np.log1p(found) * self.idf).astype(np.float32)
         best = int(cosines.argmax())
         score = min(1.0, max(0.0, float(cosines[best])))
-        return self.languages[best], score, score < self.floors[best]
+        near = int(np.where(self.founded, cosines, -1).argmax())
+        return self.languages[best], score, bool(cosines[near] < self.floors[near, length_class(int(found.sum()) // 3)])
 
 
 def clustered(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
@@ -71,6 +87,38 @@ def clustered(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
     return centres
 
 
+def limits(texts: list[bytes], x: np.ndarray, idf: np.ndarray, centres: np.ndarray, clusters: int) -> np.ndarray:
+    """The least cosine of a language's texts cut to each of LENGTHS but for the share REST, for each centre. The cosines
+    of each half of the texts are those to centroids of the other half, as new texts have them."""
+    halves = [np.arange(i, len(texts), 2) for i in (0, 1)]
+    others = [founded_only(x[h], clustered(x[h], clusters)) if len(h) else centres for h in reversed(halves)]
+    best = (x @ centres.T).argmax(axis=1)
+    out = np.zeros((len(centres), len(LENGTHS)))
+    for i, length in enumerate(LENGTHS):
+        near = np.full(len(texts), np.nan)
+        for half, other in zip(halves, others, strict=True):
+            for t in half:
+                if i == 0 or len(texts[t]) >= length:
+                    near[t] = (other @ unit(np.log1p(counts(texts[t][:length], len(idf))) * idf).astype(np.float32)).max()
+        told = ~np.isnan(near)
+        if i:
+            out[:, i] = out[:, i - 1]  # where too few texts are as long
+        if i == 0 or told.sum() >= min(OWN, len(texts) / 2):
+            for j in range(len(centres)):
+                own = near[told & (best == j)]
+                out[j, i] = np.quantile(own if len(own) >= OWN else near[told], REST) - 1e-6
+    return out
+
+
+def well_founded(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Which centres are the nearest of at least the share FOUNDED of x."""
+    return np.bincount((x @ centres.T).argmax(axis=1), minlength=len(centres)) >= max(1, FOUNDED * len(x))
+
+
+def founded_only(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return centres[well_founded(x, centres)]
+
+
 def fit_rows(texts: list[bytes], languages: list[str], clusters: int = CLUSTERS, slack: float = SLACK, dimensions: int = DIMENSIONS) -> Model:
     x = np.zeros((len(texts), dimensions), np.float32)
     for i, t in enumerate(texts):
@@ -79,18 +127,16 @@ def fit_rows(texts: list[bytes], languages: list[str], clusters: int = CLUSTERS,
     x *= idf  # in place: the sample's vectors are most of the driver's memory
     for row in x:
         row /= max(float(np.linalg.norm(row)), 1e-12)
-    names, centroids, floors = [], [], []
+    names, centroids, floors, founded = [], [], [], []
     told = np.array(languages)
     for language in sorted(set(languages)):
         own = x[told == language]
         centres = clustered(own, clusters)
-        best = (own @ centres.T).argmax(axis=1)
-        for i, c in enumerate(centres):
-            near = own[best == i] @ c
-            names.append(language)
-            centroids.append(c)
-            floors.append(slack * float(np.quantile(near, 0.005)) if len(near) else 0.0)
-    return Model(idf, np.array(centroids, np.float32).reshape(-1, dimensions), names, np.array(floors))
+        founded += list(well_founded(own, centres))
+        names += [language] * len(centres)
+        centroids += list(centres)
+        floors += list(slack * limits([t for t, name in zip(texts, languages, strict=True) if name == language], own, idf, centres, clusters))
+    return Model(idf, np.array(centroids, np.float32).reshape(-1, dimensions), names, np.array(floors).reshape(-1, len(LENGTHS)), np.array(founded, bool))
 
 
 def fit(rows: DataFrame, clusters: int = CLUSTERS, per_language: int = PER_LANGUAGE, slack: float = SLACK) -> Model:

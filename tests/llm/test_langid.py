@@ -1,3 +1,6 @@
+import base64
+import random
+
 import pytest
 
 from marlstone.llm import langid
@@ -36,3 +39,25 @@ def test_accepted_keeps_columns(spark, names):
     docs = spark.createDataFrame([(i, "the cat and dog", "en", 1, 2) for i in range(30)] + [(99, "5", None, 1, 2)], f"doc_id long, text string, lang string, {names[0]} int, {names[1]} int")
     out = langid.accepted(docs)
     assert out.columns == docs.columns and out.count() == 30
+
+
+def test_rejects_what_was_not_learned(spark):
+    """Unlearned languages in Latin script and random text go; held-out documents of the learned ones stay."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    held = [r.text.encode() for r in docs.where(langid.held_out() & docs.text.isNotNull()).collect()]
+    model = langid.fit(docs.where(~langid.held_out()))
+    rng = random.Random(1)
+    other = [
+        "Suomen kieli kuuluu uralilaisten kielten itämerensuomalaiseen ryhmään, ja talvella järvet jäätyvät ja lapset luistelevat koko päivän.",
+        "Język polski należy do grupy języków zachodniosłowiańskich. Wczoraj wieczorem poszliśmy do lasu, żeby zbierać grzyby, ale nic nie znaleźliśmy.",
+        "Tiếng Việt là ngôn ngữ của người Việt. Hôm nay trời rất đẹp nên chúng tôi đi dạo quanh hồ và uống cà phê với bạn bè.",
+        "".join(rng.choice("abcdefghijklmnopqrstuvwxyz   ") for _ in range(400)),
+        " ".join("".join(rng.choice("bcdfghjklmnpqrstvwxz") for _ in range(6)) for _ in range(60)),
+        base64.b64encode(rng.randbytes(300)).decode(),
+        rng.randbytes(300).hex(),
+    ]
+    for text in other:
+        for times in (1, 8):
+            assert model.predict(((text + " ") * times).encode())[2], text
+    assert sum(model.predict(t)[2] for t in held) <= 0.03 * len(held)
+    assert not any(model.predict(t)[2] for t in (b"Th", b"the and"))
