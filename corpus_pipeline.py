@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marlstone.llm import decontaminate, langid, mixing, sharding, simhash
+from marlstone.llm import decontaminate, langid, mixing, near_copies, sharding
 from marlstone.llm.common import read, stage_tables, written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -21,7 +21,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near-duplicates."""
     with stage_tables(spark):
-        return simhash.representatives(docs)
+        return near_copies.representatives(docs)
 
 
 def contamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
