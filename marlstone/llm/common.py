@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,9 +21,11 @@ LOWER = bytes.maketrans(UPPER, LOWER_CASE)
 #: above belong to words, so splitting the result gives the words ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]+``.
 ALNUM = bytes(32 if b < 128 and not chr(b).isalnum() else LOWER[b] for b in range(256))
 
-#: Tables of the stage that runs and of the one before; None outside of stages.
-_stage: list[str] | None = None
-_stages: list[str] = []
+PIECE = 1 << 20
+Rows = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+#: The tables to delete when the innermost scope of this thread ends.
+_scope: ContextVar[list[str] | None] = ContextVar("scope", default=None)
 
 
 def space_words(data: bytes | None) -> list[bytes]:
@@ -33,34 +38,67 @@ def alnum_words(data: bytes | None) -> list[bytes]:
     return data.translate(ALNUM).split() if data else []
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def alnum_pieces(data: bytes | None, size: int = PIECE) -> Iterator[list[bytes]]:
+    """The same words, of about ``size`` bytes of the text at a time."""
+    at, data = 0, data or b""
+    while at < len(data):
+        end = at + size
+        while end < len(data) and ALNUM[data[end]] != 32:
+            end += 1
+        yield data[at:end].translate(ALNUM).split()
+        at = end
+
+
+def lean(rows: Rows) -> Rows:
+    """rows, whose worker gives the memory it no longer uses back when a partition ends: workers are kept for later tasks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from rows(batches)
+        pa.default_memory_pool().release_unused()
+        trim()
+
+    return run
+
+
+def trim() -> None:
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # a C library without it
+        pass
+
+
+def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Writes df as Parquet into the shared folder and reads it again: computed once, and nothing behind it is
-    needed when an executor is lost. The table stays, for the result may be read at any time; those of a pipeline's
-    stage go when the next one starts."""
+    needed when an executor is lost. The table goes with the scope it is written in, unless keep is set, and with the
+    driver if there is none, for a query's result may be read at any time."""
     path = f"{scratch_root(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    if _stage is not None:
-        _stage.append(path)
+    tables = _scope.get()
     df.write.parquet(path)
+    if tables is None or keep:
+        where, fs = file_system(df.sparkSession, path)
+        fs.deleteOnExit(where)
+    else:
+        tables.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def delete(spark: SparkSession, path: str) -> None:
+def file_system(spark: SparkSession, path: str):
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
 @contextmanager
-def stage_tables(spark: SparkSession) -> Iterator[None]:
-    """For the body of a pipeline's stage. When it starts, the result of the stage before is written, so that one's
-    tables are deleted."""
-    global _stage
-    while _stages:
-        delete(spark, _stages.pop())
-    _stage = _stages
+def scratch_tables(spark: SparkSession) -> Iterator[None]:
+    """Deletes the tables written in its body when that ends; what is returned may only read tables that are kept."""
+    tables: list[str] = []
+    token = _scope.set(tables)
     try:
         yield
     finally:
-        _stage = None
+        _scope.reset(token)
+        for path in tables:
+            where, fs = file_system(spark, path)
+            fs.delete(where, True)
 
 
 def text_bytes(column: str = "text"):
@@ -68,5 +106,10 @@ def text_bytes(column: str = "text"):
     return F.col(column).cast("binary")
 
 
+def free_name(df: DataFrame) -> str:
+    """A name that no column of df has."""
+    return "_" * (1 + max(map(len, df.columns)))
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")

@@ -1,14 +1,16 @@
 """Benchmark decontamination over a positional inverted index of the training text.
 
-The index is a table of segments in the shared folder. A segment holds some documents (at most ``segment_words`` words,
-or a single longer document), their words' positions in one line with a gap after each document, and for each term its
-postings: the ascending positions where it stands. Every word of every document is indexed. Segments are made where the
-documents are read and probed where they lie, so no posting is shuffled and a frequent word's postings never meet in one
-task. A phrase is looked up by intersecting the offset-adjusted postings of its terms, the rarest first; a proximity
-match lets each term stand up to ``slop`` words away from its place.
-
-The benchmark is read in blocks of at most ``block_words`` words, which bounds what is broadcast; with more than one
-block the matches of a document are merged by its place in the index.
+The index is a table of segments in the shared folder. A segment holds some documents, their words' positions in one
+line with a gap after each document, and for each term its postings: the ascending positions where it stands. Every word
+of every document is indexed. A segment ends with the document that fills it: it has at most ``SEGMENT_WORDS`` words,
+``SEGMENT_BYTES`` bytes of text and ``SEGMENT_DOCS`` documents besides that one, so neither empty texts nor long words make
+a large one. Postings are packed as differences. Segments are made where the documents are read and probed where they
+lie, so no posting is shuffled and a frequent word's postings never meet in one task. All phrases of a block are looked
+up together by intersecting the offset-adjusted postings of their terms, the rarest first; a proximity match, on request,
+lets each term stand up to ``slop`` words away from its place.
+
+The benchmark is read in blocks of at most ``block_words`` words, which bounds what is broadcast: a word is a row of
+``width`` numbers. With more than one block the matches of a document are merged by its place in the index.
 
 A null or empty text has no words: such a document is never contaminated, such an item never occurs. Repeated rows are
 looked up one by one, repeated items count once. Empty tables give no rows or no matches.
@@ -23,133 +25,197 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import zstandard
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import alnum_words, text_bytes, written
+from marlstone.llm.common import alnum_pieces, alnum_words, free_name, lean, scratch_tables, text_bytes, written
 
-WIDTH, SLOP, SEGMENT_WORDS, BLOCK_WORDS = 10, 2, 1 << 20, 2_000_000
+WIDTH, SLOP, BLOCK_WORDS = 10, 2, 500_000
+SEGMENT_WORDS, SEGMENT_BYTES, SEGMENT_DOCS = 1 << 18, 1 << 22, 1 << 12
 GAP = 64  # between documents; windows reach less far
+CANDIDATES = 1 << 19  # places looked up at once
 
-INDEX = "segment string, doc_ids array<bigint>, starts array<int>, lengths array<int>, terms array<binary>, bounds array<int>, postings array<int>"
-MATCHES = "segment string, place int, doc_id bigint, n_words bigint, begins array<int>, ends array<int>, items array<string>, near_items array<string>"
+INDEX = "segment string, data binary"
+MATCHES = "segment string, place int, key bigint, n_words bigint, spans array<struct<begin:int,end:int>>, items array<string>, near_items array<string>"
 
 
-def segment(docs: list[tuple[int | None, int]], ids: np.ndarray, terms: list[bytes]) -> tuple:
-    """docs: doc_id and number of words; ids: the term of each word, documents one after the other."""
-    lengths = np.fromiter((n for _, n in docs), np.int64, len(docs))
-    starts = np.r_[0, np.cumsum(lengths + GAP)[:-1]]
-    at = np.arange(len(ids)) + np.repeat(np.arange(len(docs)) * GAP, lengths)
-    order = np.argsort(ids, kind="stable")
-    bounds = np.r_[0, np.cumsum(np.bincount(ids, minlength=len(terms)))]
-    return [d for d, _ in docs], starts, lengths, terms, bounds, at[order]
+def packed(*parts: bytes | np.ndarray) -> bytes:
+    """Arrays of 32 bits go as differences, their first bytes together, then the second ones and so on."""
+    raw = [p if isinstance(p, bytes) else np.diff(p.astype(np.uint32), prepend=np.uint32(0)).view(np.uint8).reshape(-1, 4).T.tobytes() for p in parts]
+    return zstandard.ZstdCompressor(level=1).compress(np.array([len(raw), *map(len, raw)], np.int64).tobytes() + b"".join(raw))
 
 
-def build_index(docs: DataFrame, segment_words: int = SEGMENT_WORDS) -> DataFrame:
-    """A row for each segment; documents' doc_id and text are read once."""
+def unpacked(data: bytes) -> list[bytes]:
+    raw = zstandard.ZstdDecompressor().decompress(data)
+    n = int(np.frombuffer(raw, np.int64, 1)[0])
+    ends = np.cumsum(np.r_[8 * (n + 1), np.frombuffer(raw, np.int64, n, 8)])
+    return [raw[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+
+
+def numbers(raw: bytes) -> np.ndarray:
+    planes = np.frombuffer(raw, np.uint8).reshape(4, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint32).ravel(), dtype=np.uint32).astype(np.int64)
+
+
+class Segment:
+    """keys: a long of each document, None for a missing one; starts and lengths: its place in the line; terms: the words;
+    postings[bounds[t]:bounds[t + 1]]: where term t stands."""
+
+    def __init__(self, data: bytes) -> None:
+        keys, missing, starts, lengths, terms, bounds, postings = unpacked(data)
+        self.keys = pa.array(np.frombuffer(keys, np.int64), mask=np.frombuffer(missing, bool))
+        self.starts, self.lengths, self.bounds, self.postings = map(numbers, (starts, lengths, bounds, postings))
+        self.terms = terms.split(b" ") if terms else []
+        self.size = int(self.starts[-1] + self.lengths[-1])
+
+    @staticmethod
+    def of(docs: list[tuple[int | None, int]], ids: np.ndarray, terms: list[bytes]) -> bytes:
+        """docs: key and number of words; ids: the term of each word, documents one after the other."""
+        lengths = np.fromiter((n for _, n in docs), np.int64, len(docs))
+        starts = np.r_[0, np.cumsum(lengths + GAP)[:-1]]
+        at = np.arange(len(ids)) + np.repeat(np.arange(len(docs)) * GAP, lengths)
+        bounds = np.r_[0, np.cumsum(np.bincount(ids, minlength=len(terms)))]
+        keys = np.array([k or 0 for k, _ in docs], np.int64).tobytes()
+        return packed(keys, np.array([k is None for k, _ in docs]).tobytes(), starts, lengths, b" ".join(terms), bounds, at[np.argsort(ids, kind="stable")])
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
 
-        task, made = TaskContext.get(), 0
+def build_index(docs: DataFrame, key: str = "doc_id", segment_words: int = SEGMENT_WORDS, segment_bytes: int = SEGMENT_BYTES, segment_docs: int = SEGMENT_DOCS) -> DataFrame:
+    """A row for each segment; documents' key (a long) and text are read once."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, made = TaskContext.get().partitionId(), 0
         held: list[tuple[int | None, int]] = []
-        ids, vocabulary = array("i"), defaultdict()
+        size, ids, vocabulary = 0, array("i"), defaultdict()
         vocabulary.default_factory = vocabulary.__len__
 
         def ready() -> pa.RecordBatch:
-            nonlocal made
-            doc_ids, starts, lengths, terms, bounds, postings = segment(held, np.frombuffer(ids, np.int32), list(vocabulary))
+            nonlocal made, size, ids, vocabulary
+            data = Segment.of(held, np.frombuffer(ids, np.int32), list(vocabulary))
             made += 1
-            one = lambda values, kind: pa.array([values], pa.list_(kind))
-            flat = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values.astype(np.int32)))
-            columns = [pa.array([f"{task.partitionId()}-{made}"]), one(doc_ids, pa.int64()), flat(starts), flat(lengths), one(terms, pa.binary()), flat(bounds), flat(postings)]
-            return pa.RecordBatch.from_arrays(columns, ["segment", "doc_ids", "starts", "lengths", "terms", "bounds", "postings"])
+            size, ids, vocabulary = 0, array("i"), defaultdict()
+            vocabulary.default_factory = vocabulary.__len__
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array([f"{task}-{made}"]), pa.array([data], pa.binary())], ["segment", "data"])
 
         for b in batches:
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                words = alnum_words(text)
-                if held and len(ids) + len(words) > segment_words:
+            for k, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                before, data = len(ids), text.as_py()
+                for words in alnum_pieces(data):
+                    ids.extend(map(vocabulary.__getitem__, words))
+                held.append((k, len(ids) - before))
+                size += len(data or b"")
+                if len(ids) >= segment_words or size >= segment_bytes or len(held) >= segment_docs:
                     yield ready()
-                    held, ids, vocabulary = [], array("i"), defaultdict()
-                    vocabulary.default_factory = vocabulary.__len__
-                held.append((doc_id, len(words)))
-                ids.extend(map(vocabulary.__getitem__, words))
         if held:
             yield ready()
 
-    return docs.select(F.col("doc_id").cast("long"), text_bytes()).mapInArrow(rows, INDEX)
+    return docs.select(F.col(key).cast("long"), text_bytes()).mapInArrow(lean(rows), INDEX)
 
 
 class Phrases:
-    """Windows of benchmark items over a vocabulary of their own."""
+    """Windows of benchmark items over a vocabulary of their own: a row of numbers each, -1 after a short one's end."""
 
     def __init__(self, items: list[tuple[str, bytes | None]], width: int = WIDTH) -> None:
         vocabulary: dict[bytes, int] = {}
-        windows: dict[tuple[int, ...], set[str]] = {}
-        for item, text in items:
-            ids = [vocabulary.setdefault(w, len(vocabulary)) for w in alnum_words(text)]
-            for i in range(max(len(ids) - width, 0) + 1 if ids else 0):
-                windows.setdefault(tuple(ids[i : i + width]), set()).add(item)
-        self.terms, self.windows = list(vocabulary), list(windows)
-        self.items = [sorted(x) for x in windows.values()]
-        self.grid = np.full((len(windows), width), -1, np.int64)
-        for i, w in enumerate(self.windows):
-            self.grid[i, : len(w)] = w
-
-    def matches(self, terms: list[bytes], bounds: np.ndarray, postings: np.ndarray, slop: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """Of each window whose terms all occur: its number, the starts of exact matches and of proximity matches."""
-        if not len(self.grid):
+        self.names = sorted({name for name, _ in items})
+        place = {name: i for i, name in enumerate(self.names)}
+        grids, owners = [np.empty((0, width), np.int32)], [np.empty(0, np.int64)]
+        for name, text in items:
+            ids = np.array([vocabulary.setdefault(w, len(vocabulary)) for w in alnum_words(text)], np.int32)
+            if 0 < len(ids) < width:
+                ids = np.r_[ids, np.full(width - len(ids), -1, np.int32)]
+            if len(ids):
+                grids.append(np.lib.stride_tricks.sliding_window_view(ids, width))
+                owners.append(np.full(len(ids) - width + 1, place[name]))
+        self.terms = list(vocabulary)
+        self.grid, back = np.unique(np.concatenate(grids), axis=0, return_inverse=True)
+        pairs = np.unique(np.stack([back.ravel(), np.concatenate(owners)]), axis=1)
+        self.items, self.bounds = pairs[1], np.searchsorted(pairs[0], np.arange(len(self.grid) + 1))
+        self.widths = (self.grid >= 0).sum(axis=1)
+
+    def places(self, s: Segment, slop: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Windows, where each starts, and a place inside its document, of all matches; with slop, of those in which each
+        term stands at most so far from its place."""
+        if not len(self.grid) or not len(s.terms):
             return
-        number = {t: i for i, t in enumerate(terms)}
-        here = np.fromiter((number.get(t, -1) for t in self.terms), np.int64, len(self.terms))
-        there = np.where(self.grid < 0, len(terms), here[self.grid])  # the padding of short windows has a number of its own
-        for w in np.flatnonzero((there >= 0).all(axis=1)):
-            ids = there[w][there[w] < len(terms)]
-            offsets = np.argsort(bounds[ids + 1] - bounds[ids], kind="stable")  # the rarest first
-            exact = near = None
-            for o in offsets:
-                own = postings[bounds[ids[o]] : bounds[ids[o] + 1]] - o
-                if exact is None:
-                    exact = near = own
-                    continue
-                if len(exact):
-                    at = np.minimum(np.searchsorted(own, exact), len(own) - 1)
-                    exact = exact[own[at] == exact]
-                at = np.minimum(np.searchsorted(own, near - slop), len(own) - 1)
-                near = near[np.abs(own[at] - near) <= slop]
-                if not len(near):
-                    break
-            if len(near):
-                yield int(w), exact, near
-
-
-def probe(index: DataFrame, phrases: Phrases, slop: int = SLOP) -> DataFrame:
-    """A row for each document: the word intervals that windows cover exactly, the items they are from, and the items
-    of which a window occurs at least by proximity."""
+        number = {t: i for i, t in enumerate(s.terms)}
+        here = np.array([*(number.get(t, -1) for t in self.terms), len(s.terms)], np.int64)  # the padding's own number is last
+        many = np.r_[np.diff(s.bounds), np.iinfo(np.int64).max]
+        span = s.size + 4 * GAP  # positions of one term stay apart from those of the next, whatever is added to them
+        keys = np.repeat(np.arange(len(s.terms)) * span, many[:-1]) + s.postings + 2 * GAP
+        for at in range(0, len(self.grid), 1 << 16):
+            ids = here[self.grid[at : at + (1 << 16)]]
+            window = np.flatnonzero((ids >= 0).all(axis=1))
+            ids = ids[window]
+            order = np.argsort(many[ids], axis=1, kind="stable")  # the rarest first
+            ids = np.take_along_axis(ids, order, axis=1)
+            total = np.cumsum(many[ids[:, 0]]) if len(ids) else []
+            begin = 0
+            while begin < len(ids):
+                end = max(begin + 1, int(np.searchsorted(total, (total[begin - 1] if begin else 0) + CANDIDATES, "right")))
+                n = many[ids[begin:end, 0]]
+                w = np.repeat(np.arange(begin, end), n)
+                inside = s.postings[np.arange(len(w)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(s.bounds[ids[begin:end, 0]], n)]
+                start = inside - order[w, 0]
+                for r in range(1, ids.shape[1]):
+                    t = ids[w, r]
+                    want = t * span + start + order[w, r] + 2 * GAP
+                    near = np.searchsorted(keys, want - slop)
+                    hit = (t == len(s.terms)) | (keys[np.minimum(near, len(keys) - 1)] <= want + slop) & (near < len(keys))
+                    w, start, inside = w[hit], start[hit], inside[hit]
+                if len(w):
+                    yield at + window[w], start, inside
+                begin = end
+
+    def owners(self, windows: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct pairs of a document and an item of one of its windows, by document and item."""
+        n = self.bounds[windows + 1] - self.bounds[windows]
+        item = self.items[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.bounds[windows], n)]
+        pair = np.unique(np.repeat(docs, n) * len(self.names) + item)
+        return pair // len(self.names), pair % len(self.names)
+
+
+def grouped(docs: np.ndarray, values: list, n: int, kind: pa.DataType) -> pa.Array:
+    """The values of each of n documents; docs is ascending."""
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(docs, np.arange(n + 1)), pa.int32()), pa.array(values, kind))
+
+
+def probe(index: DataFrame, phrases: Phrases, slop: int | None = None) -> DataFrame:
+    """A row for each document: the disjoint spans of words that windows cover exactly, the items they are from and, if
+    slop is given, the items of which a window occurs at least by proximity."""
     shared = index.sparkSession.sparkContext.broadcast(phrases)
+    span = pa.struct([("begin", pa.int32()), ("end", pa.int32())])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         phrases = shared.value
         for b in batches:
-            for i in range(b.num_rows):
-                name = b.column(0)[i].as_py()
-                doc_ids = b.column(1)[i].values
-                starts, lengths, bounds, postings = (b.column(k)[i].values.to_numpy().astype(np.int64) for k in (2, 3, 5, 6))
-                begins, ends, items, close = (defaultdict(list), defaultdict(list), defaultdict(set), defaultdict(set))
-                for w, exact, near in phrases.matches(b.column(4)[i].as_py(), bounds, postings, slop):
-                    for at, place in zip(exact.tolist(), (np.searchsorted(starts, exact, "right") - 1).tolist(), strict=True):
-                        begins[place].append(int(at - starts[place]))
-                        ends[place].append(int(at - starts[place]) + len(phrases.windows[w]))
-                        items[place].update(phrases.items[w])
-                    for place in set((np.searchsorted(starts, near, "right") - 1).tolist()):
-                        close[place].update(phrases.items[w])
-                n = len(doc_ids)
-                columns = [pa.array([name] * n), pa.array(range(n), pa.int32()), doc_ids, pa.array(lengths)]
-                columns += [pa.array([x.get(k, []) for k in range(n)], pa.list_(pa.int32())) for x in (begins, ends)]
-                columns += [pa.array([sorted(x.get(k, ())) for k in range(n)], pa.list_(pa.string())) for x in (items, close)]
-                yield pa.RecordBatch.from_arrays(columns, ["segment", "place", "doc_id", "n_words", "begins", "ends", "items", "near_items"])
-
-    return index.mapInArrow(rows, MATCHES)
+            for name, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                s = Segment(data.as_py())
+                n, found = len(s.starts), []
+                for reach in (0, slop):
+                    steps = np.zeros(s.size + 1, np.int32)
+                    docs, items = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+                    for window, start, inside in phrases.places(s, reach) if reach is not None else ():
+                        if not reach:
+                            np.add.at(steps, start, 1)
+                            np.add.at(steps, start + phrases.widths[window], -1)
+                        d, i = phrases.owners(window, np.searchsorted(s.starts, inside, "right") - 1)
+                        docs.append(d)
+                        items.append(i)
+                    pair = np.unique(np.concatenate(docs) * max(1, len(phrases.names)) + np.concatenate(items))
+                    found.append((pair // max(1, len(phrases.names)), [phrases.names[i] for i in (pair % max(1, len(phrases.names))).tolist()], steps))
+                covered = np.diff(np.r_[0, np.cumsum(found[0][2]) > 0, 0])
+                begin, end = np.flatnonzero(covered == 1), np.flatnonzero(covered == -1)
+                doc = np.searchsorted(s.starts, begin, "right") - 1
+                runs = pa.StructArray.from_arrays([pa.array(x - s.starts[doc], pa.int32()) for x in (begin, end)], fields=list(span))
+                columns = [pa.array([name] * n), pa.array(range(n), pa.int32()), s.keys, pa.array(s.lengths)]
+                columns += [pa.ListArray.from_arrays(pa.array(np.searchsorted(doc, np.arange(n + 1)), pa.int32()), runs)]
+                columns += [grouped(d, names, n, pa.string()) for d, names, _ in found]
+                yield pa.RecordBatch.from_arrays(columns, ["segment", "place", "key", "n_words", "spans", "items", "near_items"])
+
+    return index.mapInArrow(lean(rows), MATCHES)
 
 
 def blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> Iterator[list[tuple[str, bytes | None]]]:
@@ -161,40 +227,39 @@ def blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> Iterator[lis
         yield [(r[0] or "", r[1]) for r in items.where(F.pmod("h", F.lit(many)) == k).select("item_id", "text").toLocalIterator()]
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, slop: int = SLOP, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """For each document: doc_id, n_words, n_hit (words inside an exact match), items and near_items (sorted arrays)."""
-    if width + slop >= GAP:
+def n_covered(spans: Column) -> Column:
+    """How many words the spans cover together."""
+    start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("end"))
+    step = lambda a, x: F.struct((a["n"] + F.greatest(x["end"] - F.greatest(a["end"], x["begin"]), F.lit(0))).alias("n"), F.greatest(a["end"], x["end"]).alias("end"))
+    return F.aggregate(F.sort_array(spans), start, step, lambda a: a["n"])
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, slop: int | None = None, block_words: int = BLOCK_WORDS, key: str = "doc_id") -> DataFrame:
+    """For each document: its key (a long), n_words, n_hit (words inside an exact match), items and near_items (sorted
+    arrays; near_items are empty unless slop is given)."""
+    if width + (slop or 0) >= GAP:
         raise ValueError(f"width + slop must be below {GAP}")
-    index = written(build_index(docs), "index")
-    found, parts = None, 0
+    index = written(build_index(docs, key), "index")
+    found = None
     for items in blocks(benchmark, block_words):
         part = probe(index, Phrases(items, width), slop)
-        found, parts = part if found is None else found.union(part), parts + 1
-    if parts > 1:
-        joined = [F.flatten(F.collect_list(c)).alias(c) for c in ("begins", "ends", "items", "near_items")]
-        found = found.groupBy("segment", "place").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), *joined)
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            hits = []
-            for n, begins, ends in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                step = np.zeros(n + 1, np.int64) if begins else None
-                if begins:
-                    np.add.at(step, begins, 1)
-                    np.add.at(step, ends, -1)
-                hits.append(int((np.cumsum(step) > 0).sum()) if begins else 0)
-            items = [pa.array([sorted(set(x)) for x in b.column(k).to_pylist()], pa.list_(pa.string())) for k in (4, 5)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(hits, pa.int64()), *items], ["doc_id", "n_words", "n_hit", "items", "near_items"])
-
-    return found.select("doc_id", "n_words", "begins", "ends", "items", "near_items").mapInArrow(rows, "doc_id bigint, n_words bigint, n_hit bigint, items array<string>, near_items array<string>")
+        found = part if found is None else found.union(part.where("size(spans) > 0 or size(near_items) > 0"))
+        more = found is not part
+    if more:
+        joined = [F.flatten(F.collect_list(c)).alias(c) for c in ("spans", "items", "near_items")]
+        found = found.groupBy("segment", "place").agg(F.first("key").alias("key"), F.first("n_words").alias("n_words"), *joined)
+    once = [F.array_sort(F.array_distinct(c)).alias(c) for c in ("items", "near_items")]
+    return found.select(F.col("key").alias(key), "n_words", n_covered(F.col("spans")).alias("n_hit"), *once)
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
-    """The rows of docs without an exact match, all columns as they are. Rows that share a doc_id (null counts as one)
-    are one document, which goes if any of them has a match."""
-    found = contamination(docs, benchmark, width)
-    hit = written(found.where("n_hit > 0").select(F.col("doc_id").alias("__hit")).distinct(), "hit")
-    return docs.join(hit, docs["doc_id"].cast("long").eqNullSafe(hit["__hit"]), "left_anti")
+    """The rows of docs without an exact match, all columns as they are. A row goes for its own text alone, whatever
+    doc_id it has."""
+    name = free_name(docs)
+    with scratch_tables(docs.sparkSession):
+        found = contamination(docs.select(F.xxhash64("text").alias(name), "text"), benchmark, width, key=name)
+        hit = written(found.where("n_hit > 0").select(name).distinct(), "hit", keep=True)
+    return docs.withColumn(name, F.xxhash64("text")).join(hit, name, "left_anti").drop(name)
 
 
 def items_digest(column: str = "items"):
