@@ -106,6 +106,14 @@ def text_bytes(column: str = "text"):
     return F.col(column).cast("binary")
 
 
+def numbered(docs: DataFrame, name: str) -> DataFrame:
+    """docs with a number for each row, the same whenever it is read: rows of a scan stand where they stood. What has been
+    shuffled is written first."""
+    if "Exchange" in docs._jdf.queryExecution().executedPlan().toString():
+        docs = written(docs, "rows", keep=True)
+    return docs.withColumn(name, F.monotonically_increasing_id())
+
+
 def free_name(df: DataFrame) -> str:
     """A name that no column of df has."""
     return "_" * (1 + max(map(len, df.columns)))

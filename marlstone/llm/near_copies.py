@@ -1,8 +1,12 @@
-"""The pipeline's near-duplicates: documents whose sets of five-word shingles have a Jaccard similarity of at least 0.8.
+"""SimHash near-duplicates at a Jaccard similarity: documents whose sets of five-word shingles have one of 0.8 or more.
 
-Documents with equal sets are one class. Of each class's set, ``BANDS`` keys are made of ``ROWS`` min-hashes each; classes that
-share a key are candidates, and every candidate pair's similarity is then computed exactly from the whole sets. A pair at
-0.8 shares no key with a probability of (1 - 0.8 ** 4) ** 40, below 1e-9. Components are those over the links.
+Documents with equal sets are one class with one fingerprint, the SimHash of the set. Two sets of that similarity differ in
+10 of 64 bits in the mean, too many for keys of whole bit blocks, so the shards of the BK-trees have other keys: ``BANDS`` of
+``ROWS`` min-hashes of the set each. A pair at 0.8 shares no key with a probability of (1 - 0.8 ** 4) ** 20, below 3e-5, and
+is farther apart than ``RADIUS`` bits with one of about 1e-4. The trees give loose components, within which every pair's
+similarity is computed exactly from the whole sets; a loose component above ``CELL_SHINGLES`` is cut into blocks that meet
+pairwise, so it never stands in one task, and each cell returns a star for each exact component. The result is the components
+over the exact links. A shard or component of a great many distinct sets costs the square of their number.
 
 Words are as in ``simhash``; a text of one to four words is one shingle. Null texts and those without words have the empty set
 and are copies of each other. Rows are told apart by doc_id and text: of a component the row with the smallest doc_id stays,
@@ -19,11 +23,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import space_words, text_bytes, written
+from marlstone.llm.common import free_name, lean, scratch_tables, space_words, text_bytes, written
 from marlstone.llm.ngram_shards import mix
-from marlstone.llm.simhash import star_components
+from marlstone.llm.simhash import TREE_ROWS, celled, changes, majority, runs, star_components, star_links
 
-SEED, WIDTH, BANDS, ROWS = 42, 5, 40, 4
+SEED, WIDTH, BANDS, ROWS, RADIUS, CELL_SHINGLES = 42, 5, 20, 4, 22, 1 << 18
+PARTS = 5  # a similarity of 4 / 5
 _random = np.random.default_rng(SEED)
 FLIPS, FACTORS = (_random.integers(0, 1 << 64, (BANDS * ROWS, 1), dtype=np.uint64) for _ in range(2))
 FACTORS |= np.uint64(1)
@@ -57,53 +62,89 @@ def bands(found: np.ndarray) -> np.ndarray:
     return key
 
 
-def set_hash(found: np.ndarray) -> int:
-    return xxhash.xxh64_intdigest(found.tobytes(), SEED)
+def row_of(docs: DataFrame):
+    """A hash of doc_id and text."""
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col("doc_id").isNull(), F.col("text"))
 
 
 def marks(docs: DataFrame) -> DataFrame:
-    """doc_id, row (a hash of the text), set (a hash of the shingles), n (their number) and keys of every row."""
+    """doc_id, row, set (a hash of the shingles), n (their number), fp (the set's fingerprint) and keys of every row."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [shingles(x) for x in b.column(2).to_pylist()]
-            made = [np.array([set_hash(s) for s in sets], np.uint64).view(np.int64), np.array([len(s) for s in sets], np.int64)]
-            keys = pa.array([bands(s).view(np.int64) for s in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *map(pa.array, made), keys], ["doc_id", "row", "set", "n", "keys"])
-
-    plain = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("row"), text_bytes())
-    return plain.mapInArrow(rows, "doc_id long, row long, set long, n long, keys array<long>")
-
-
-def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """classes: set, row, n and keys. Returns u and v, the sets of every pair of at least 0.8."""
-    keyed = classes.select("set", "n", "row", F.explode("keys").alias("key"))
-    one, two = (keyed.select("key", F.col("set").alias(s), F.col("n").alias(f"n{s}"), F.col("row").alias(f"row{s}")) for s in "uv")
-    near = one.join(two, "key").where("u < v and 5 * least(nu, nv) >= 4 * greatest(nu, nv)")
-    pairs = written(near.drop("key").distinct(), "candidates")
-    needed = pairs.select(F.col("rowu").alias("row")).union(pairs.select("rowv")).distinct()
+            made, keys, n = np.empty((2, b.num_rows), np.uint64), [], np.empty(b.num_rows, np.int64)
+            for i, text in enumerate(b.column(2)):
+                found = shingles(text.as_py())
+                made[:, i], n[i] = (xxhash.xxh64_intdigest(found.tobytes(), SEED), majority(found)), len(found)
+                keys.append(bands(found).view(np.int64))
+            sets, fps = made.view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sets), pa.array(n), pa.array(fps), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "row", "set", "n", "fp", "keys"])
+
+    plain = docs.select(F.col("doc_id").cast("long"), row_of(docs).alias("row"), text_bytes())
+    return plain.mapInArrow(lean(rows), "doc_id long, row long, set long, n long, fp long, keys array<long>")
+
+
+def exact_stars(ids: np.ndarray, sizes: np.ndarray, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """ids of sets, their sizes, and their hashes one after the other. Returns the sets that are linked, and the first set of
+    each one's component; every pair that shares a hash is compared."""
+    owner = np.repeat(np.arange(len(ids)), sizes)
+    code = np.unique(found, return_inverse=True)[1]
+    order = np.argsort(code, kind="stable")
+    posted, bounds = owner[order], np.searchsorted(code[order], np.arange(len(found) + 1))
+    label, ends = np.arange(len(ids)), np.cumsum(sizes)
+    for x in range(len(ids)):
+        own = code[ends[x] - sizes[x] : ends[x]]
+        n = bounds[own + 1] - bounds[own]
+        shared = np.bincount(posted[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(bounds[own], n)], minlength=len(ids))
+        near = np.unique(label[PARTS * shared >= (PARTS - 1) * (sizes + sizes[x] - shared)])
+        if len(near) > 1:
+            label[np.isin(label, near)] = near[0]
+    linked = np.flatnonzero(label != np.arange(len(ids)))
+    return ids[linked], ids[label[linked]]
+
+
+def links(docs: DataFrame, classes: DataFrame, tree_rows: int = TREE_ROWS, cell_shingles: int = CELL_SHINGLES) -> DataFrame:
+    """classes: set, row, n, fp and keys. Returns u and v, links of sets whose components are those of all pairs of at
+    least 0.8."""
+    keyed = classes.select(F.explode("keys").alias("key"), F.col("set").alias("id"), "fp")
+    loose = star_components(star_links(keyed, classes.count() * BANDS, RADIUS, tree_rows), "loose")
+    loose = written(loose.select(F.col("v").alias("set"), "root").union(loose.select("root", "root")).distinct().join(classes.select("set", "row", "n"), "set"), "members")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [shingles(x).view(np.int64) for x in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], ["row", "all"])
-
-    texts = docs.select(F.xxhash64("text").alias("row"), text_bytes().alias("data")).join(needed, "row", "left_semi").dropDuplicates(["row"])
-    sets = written(texts.mapInArrow(rows, "row long, all array<long>"), "sets")
-    both = pairs.join(sets.select(F.col("row").alias("rowu"), F.col("all").alias("a")), "rowu").join(sets.select(F.col("row").alias("rowv"), F.col("all").alias("b")), "rowv")
-    shared = both.select("u", "v", "nu", "nv", F.size(F.array_intersect("a", "b")).alias("shared"))
-    return shared.where("5 * shared >= 4 * (nu + nv - shared)").select("u", "v")
-
-
-def representatives(docs: DataFrame) -> DataFrame:
-    """The rows of docs with one document of each component."""
-    marked = written(marks(docs), "marks")
-    classes = written(marked.groupBy("set").agg(F.min("row").alias("row"), F.first("n").alias("n"), F.first("keys").alias("keys")), "classes")
-    found = star_components(links(docs, classes)).withColumnRenamed("v", "set")
-    rooted = marked.select("doc_id", "row", "set").join(found, "set", "left").withColumn("root", F.coalesce("root", "set"))
-    first = rooted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first"))
-    name = "_" * (1 + max(map(len, docs.columns)))  # no column of docs has it
-    kept = first.select(F.col("first.doc_id").alias("kept_id"), F.col("first.row").alias("kept_row"))
-    named = docs.withColumn(name, F.xxhash64("text"))
-    same = (named[name] == kept["kept_row"]) & named["doc_id"].cast("long").eqNullSafe(kept["kept_id"])
-    return named.join(kept, same, "left_semi").dropDuplicates(["doc_id", name]).drop(name)
+            for at in range(0, b.num_rows, 256):
+                few = b.slice(at, 256)
+                made = [shingles(text.as_py()).view(np.int64) for text in few.column(1)]
+                yield pa.RecordBatch.from_arrays([few.column(0), pa.array(made, pa.list_(pa.int64()))], ["row", "all"])
+
+    texts = docs.select(row_of(docs).alias("row"), text_bytes().alias("data")).join(loose.select("row"), "row", "left_semi")
+    sets = texts.mapInArrow(lean(rows), "row long, all array<long>").dropDuplicates(["row"])
+    weight = loose.groupBy("root").agg(F.ceil(F.sum(F.col("n") + 64) / cell_shingles).cast("int").alias("cut"))
+    placed = celled(loose.join(weight, "root"), F.col("cut"), "set").select("root", F.col("cell").cast("long"), "set", "row")
+    cells = placed.join(written(sets, "sets"), "row").select("root", "cell", "set", "all").repartition("root", "cell").sortWithinPartitions("root", "cell", "set")
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in runs(batches, 2):
+            root, cell, ids = (table.column(i).to_numpy() for i in range(3))
+            all_ = table.column(3).combine_chunks()
+            sizes, found = np.diff(all_.offsets.to_numpy()), all_.flatten().to_numpy()
+            at, cuts = np.r_[0, np.cumsum(sizes)], [*np.flatnonzero(changes(root, cell)).tolist(), len(ids)]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                u, v = exact_stars(ids[a:b], sizes[a:b], found[at[a] : at[b]])
+                if len(u):
+                    yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+
+    return cells.mapInArrow(lean(compared), "u long, v long")
+
+
+def representatives(docs: DataFrame, tree_rows: int = TREE_ROWS, cell_shingles: int = CELL_SHINGLES) -> DataFrame:
+    """The rows of docs with one document of each component, all columns as they are."""
+    name = free_name(docs)
+    with scratch_tables(docs.sparkSession):
+        marked = written(marks(docs), "marks")
+        classes = written(marked.groupBy("set").agg(F.min("row").alias("row"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("keys").alias("keys")), "classes")
+        found = star_components(links(docs, classes, tree_rows, cell_shingles)).withColumnRenamed("v", "set")
+        rooted = marked.select("doc_id", "row", "set").join(found, "set", "left").withColumn("root", F.coalesce("root", "set"))
+        first = rooted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first"))
+        kept = written(first.select(F.col("first.row").alias(name)), "kept", keep=True)
+    return docs.withColumn(name, row_of(docs)).join(kept, name, "left_semi").dropDuplicates([name]).drop(name)

@@ -8,8 +8,8 @@ The driver never holds the groups. It holds sums over ranges of the hash, 2**16
 bounds the capacity and shows through which ranges each cut can run; only those are split, by 8 more bits, until they hold
 single groups. The collected rows are bounded by the number of shards and the number of ranges, not by the data.
 
-A document's slot is its rank within its shard in the order of buckets by a hash of doc_id and text, so copies of one text
-spread over the buckets however many there are.
+A document's slot is its rank within its shard in the order of buckets by a hash of its row, doc_id and text, so copies of
+one text or id spread over the buckets however many there are.
 
 A null text has no bytes and checksum 0 and is a group of its own with size 8 for each row. Repeated rows go to one shard and take a slot each.
 With fewer groups than shards, the last shards stay empty. Extra columns pass through. An empty table gives no rows.
@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import written
+from marlstone.llm.common import free_name, numbered, written
 
 SHARDS, ROW_BYTES, FIRST_BITS, MORE_BITS = 24, 8, 16, 8
 BUCKET_ROWS, BUCKETS = 16_384, 65_536
@@ -119,25 +119,39 @@ def cuts(groups: DataFrame, shards: int = SHARDS) -> tuple[list[int], int]:
 
 
 def assign_sized(rows: DataFrame, shards: int = SHARDS) -> DataFrame:
-    """rows with doc_id, size and group; all columns pass through. Adds shard and slot."""
+    """rows with doc_id, size and group, a table that has been written, as it is read more than once; all columns pass
+    through. Adds shard and slot."""
     groups = written(rows.groupBy(F.col("group").alias("key")).agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")), "groups")
     firsts, _ = cuts(groups, shards)
     n = groups.agg(F.sum("rows")).first()[0] or 0
     buckets = max(1, min(BUCKETS, -(-n // BUCKET_ROWS)))
     shard = sum((F.when(F.col("group") >= F.lit(f), 1).otherwise(0) for f in firsts), F.lit(0)).cast("int")
-    placed = rows.withColumn("shard", shard).withColumn("bucket", F.pmod(F.xxhash64("doc_id", "group"), F.lit(buckets)).cast("int"))
-    along = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    ends = placed.groupBy("shard", "bucket").agg(F.count("*").alias("many")).withColumn("before", F.coalesce(F.sum("many").over(along), F.lit(0))).drop("many")
-    within = Window.partitionBy("shard", "bucket").orderBy("group", "doc_id")
-    ranked = placed.withColumn("rank", F.row_number().over(within)).join(ends, ["shard", "bucket"])
+    # rows of one doc_id and text are alike, so which of them has which slot is open, and the row's number spreads them
+    bucket = F.pmod(F.xxhash64(F.monotonically_increasing_id(), "doc_id", "group"), F.lit(buckets)).cast("int")
+    placed = rows.withColumn("__bucket", bucket).withColumn("shard", shard)
+    along = Window.partitionBy("shard").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    ends = placed.groupBy("shard", "__bucket").agg(F.count("*").alias("many")).withColumn("before", F.coalesce(F.sum("many").over(along), F.lit(0))).drop("many")
+    within = Window.partitionBy("shard", "__bucket").orderBy("group", "doc_id")
+    ranked = placed.withColumn("rank", F.row_number().over(within)).join(ends, ["shard", "__bucket"])
     return ranked.withColumn("slot", F.col("before") + F.col("rank") - 1).select(*rows.columns, "shard", "slot")
 
 
 def assign(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
-    """docs with doc_id and text; all columns pass through, whatever their names. Adds size, shard and slot, after them."""
-    sized = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), size_of().alias("size"), group_of().alias("group"))
-    added = [F.col(c).alias(c) for c in ("size", "shard", "slot") if c not in docs.columns]
-    return assign_sized(sized, shards).select(*(F.col("row")[c].alias(c) for c in docs.columns), *added)
+    """docs with doc_id and text; all columns pass through. Adds size, shard and slot after them; a column of docs that has
+    one of these names gets an underscore in front. Shards and slots are made of a table of sizes; the texts go through one
+    shuffle, by row."""
+    name = free_name(docs)
+    rows = numbered(docs, name)
+    sized = written(rows.select(F.col(name).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), size_of().alias("size"), group_of().alias("group")), "sizes", keep=True)
+    added = assign_sized(sized, shards).select(F.col("row").alias(name), *(F.col(c).alias(f"{name}{c}") for c in ("size", "shard", "slot")))
+    taken, kept = set(docs.columns), []
+    for c in docs.columns:
+        new = c
+        while new in ("size", "shard", "slot") or new != c and new in taken:
+            new = "_" + new
+        kept.append(F.col(f"`{c}`").alias(new))
+        taken.add(new)
+    return rows.join(added, name).select(*kept, *(F.col(f"{name}{c}").alias(c) for c in ("size", "shard", "slot")))
 
 
 def brute_force(sizes: list[int], shards: int) -> list[int]:

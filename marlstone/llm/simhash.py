@@ -21,29 +21,31 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import space_words, text_bytes, written
+from marlstone.llm.common import lean, space_words, text_bytes, written
 
 SEED, WIDTH, RADIUS, TREE_ROWS, HOT_KEYS = 42, 3, 3, 4096, 100_000
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The bits set in over half the hashes; none without hashes."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 1 << 14):
+        bits = np.unpackbits(hashes[at : at + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        ones += bits.sum(axis=0, dtype=np.uint32)
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
+
+
 def fingerprint(data: bytes | None, width: int = WIDTH) -> int:
     """Unsigned 64-bit SimHash of a text's word shingles, repeats included."""
     words = space_words(data)
-    if not words:
-        return 0
     if len(words) < width:
-        return xxhash.xxh64_intdigest(b" ".join(words), SEED)
+        return xxhash.xxh64_intdigest(b" ".join(words), SEED) if words else 0
     shingles = map(b" ".join, zip(*(words[i:] for i in range(width)), strict=False))
-    digest, n = xxhash.xxh64_intdigest, len(words) - width + 1
-    hashes = np.fromiter((digest(s, SEED) for s in shingles), np.uint64, n)
-    ones = np.zeros(64, np.int64)
-    for at in range(0, n, 1 << 16):
-        bits = np.unpackbits(hashes[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        ones += bits.sum(axis=0, dtype=np.uint32)
-    return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
+    digest = xxhash.xxh64_intdigest
+    return majority(np.fromiter((digest(s, SEED) for s in shingles), np.uint64, len(words) - width + 1))
 
 
 def fingerprints(docs: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -54,7 +56,7 @@ def fingerprints(docs: DataFrame, width: int = WIDTH) -> DataFrame:
             fps = np.fromiter((fingerprint(x, width) for x in b.column(1).to_pylist()), np.uint64, b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), text_bytes()).mapInArrow(rows, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), text_bytes()).mapInArrow(lean(rows), "doc_id long, fp long")
 
 
 def masks(n: int, radius: int = RADIUS) -> list[int]:
@@ -118,57 +120,80 @@ def join_labels(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
 
 
 def stars(group: np.ndarray, points: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each point that is linked within its group: the point and its component's first point."""
+    """The indexes of the points that are linked within their group, and of their component's first point."""
     counts = np.unique(group, return_counts=True)[1]
-    shared = np.repeat(counts, counts) > 1
+    shared = np.flatnonzero(np.repeat(counts, counts) > 1)
     group, points = group[shared], points[shared]
     if not len(points):
-        return points, points
+        return shared, shared
     forest, label = Forest(group, points), np.arange(len(points))
     step = max(64, 2_000_000 // int(counts.max()))
     for at in range(0, len(points), step):
         for a, b in forest.within(np.arange(at, min(at + step, len(points))), radius):
             join_labels(label, a, b)
     linked = np.flatnonzero(label != np.arange(len(points)))
-    return points[linked], points[label[linked]]
+    return shared[linked], shared[label[linked]]
+
+
+def celled(df: DataFrame, cut: Column, by: str) -> DataFrame:
+    """Adds cell: rows of a group with a cut go to blocks by a hash, and to each cell in which their block meets another."""
+    block = F.pmod(F.xxhash64(by), cut).cast("int")
+    others = F.filter(F.sequence(F.lit(0), cut - 1), lambda i: i != block)
+    cells = F.transform(others, lambda i: F.least(i, block) * cut + F.greatest(i, block))
+    return df.withColumn("cell", F.explode(F.when(cut > 1, cells).otherwise(F.array(F.lit(0)))))
+
+
+def runs(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Table]:
+    """The rows in tables that hold whole groups: rows that agree in the first ``width`` columns, longs, stand together."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        keys = np.stack([b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(width)], axis=1)
+        new = np.flatnonzero((keys != keys[-1]).any(axis=1))  # all but the last group are complete
+        if len(new):
+            yield pa.Table.from_batches([*held, b.slice(0, int(new[-1]) + 1)])
+            held, b = [], b.slice(int(new[-1]) + 1)
+        elif held and any(held[-1].column(i)[0].as_py() != keys[0, i] for i in range(width)):
+            yield pa.Table.from_batches(held)
+            held = []
+        held.append(b)
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def changes(*columns: np.ndarray) -> np.ndarray:
+    """Where a row differs from the one before; the first does."""
+    return np.r_[True, np.any([c[1:] != c[:-1] for c in columns], axis=0)][: len(columns[0])]
+
+
+def star_links(keyed: DataFrame, keys: int, radius: int, tree_rows: int = TREE_ROWS) -> DataFrame:
+    """keyed: key (long), id (long) and fp of each point, under at most ``keys`` keys in all. Returns u and v, links of
+    ids whose components are those of all links within radius under a common key."""
+    limit = max(tree_rows, keys // HOT_KEYS)  # at most HOT_KEYS keys have more, which bounds the broadcast
+    hot = keyed.groupBy("key").count().where(F.col("count") > limit).select("key", F.ceil(F.col("count") / limit).cast("int").alias("cut"))
+    cells = celled(keyed.join(F.broadcast(hot), "key", "left").withColumn("cut", F.coalesce("cut", F.lit(1))), F.col("cut"), "id")
+    cells = cells.select("key", F.col("cell").cast("long"), "id", "fp").repartition("key", "cell").sortWithinPartitions("key", "cell", "fp")
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in runs(batches, 2):
+            key, cell, ids, fp = (c.to_numpy() for c in table.columns)
+            first = np.flatnonzero(changes(key, cell, fp))  # points of equal fingerprints are one in the tree
+            group = np.cumsum(changes(key[first], cell[first])) - 1
+            linked, root = stars(group, fp[first].view(np.uint64), radius)
+            own = ids[first][np.cumsum(changes(key, cell, fp)) - 1]
+            u, v = np.r_[ids[own != ids], ids[first[linked]]], np.r_[own[own != ids], ids[first[root]]]
+            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+
+    return cells.mapInArrow(lean(rows), "u long, v long")
 
 
 def links(fps: DataFrame, radius: int = RADIUS, tree_rows: int = TREE_ROWS) -> DataFrame:
     """fps: distinct longs in column fp. Returns u and v, links whose components are those of all links within radius."""
     n = fps.count()
-    keyed = fps.select("fp", F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)) for m in masks(n, radius)))).alias("band", "key"))
-    limit = max(tree_rows, n * len(masks(n, radius)) // HOT_KEYS)  # at most HOT_KEYS keys have more, which bounds the broadcast
-    hot = keyed.groupBy("band", "key").count().where(F.col("count") > limit).select("band", "key", F.ceil(F.col("count") / limit).cast("int").alias("cut"))
-    keyed = keyed.join(F.broadcast(hot), ["band", "key"], "left")
-    block = F.pmod(F.xxhash64("fp"), F.col("cut")).cast("int")
-    others = F.filter(F.sequence(F.lit(0), F.col("cut") - 1), lambda i: i != block)
-    cells = F.transform(others, lambda i: F.least(i, block) * F.col("cut") + F.greatest(i, block))
-    keyed = keyed.withColumn("cell", F.explode(F.when(F.col("cut").isNull(), F.array(F.lit(0))).otherwise(cells)))
-    keyed = keyed.select("band", "key", "cell", "fp").repartition("band", "key", "cell").sortWithinPartitions("band", "key", "cell")
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def found(block: np.ndarray) -> pa.RecordBatch:
-            group = np.cumsum(np.r_[0, (block[1:, :3] != block[:-1, :3]).any(axis=1)])
-            u, v = stars(group, block[:, 3].copy().view(np.uint64), radius)
-            return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], ["u", "v"])
-
-        held: list[np.ndarray] = []
-        for b in batches:
-            if not b.num_rows:
-                continue
-            block = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in b.columns], axis=1)
-            new = np.flatnonzero((block[:, :3] != block[-1, :3]).any(axis=1))  # all but the last group are complete
-            if len(new):
-                yield found(np.concatenate([*held, block[: new[-1] + 1]]))
-                held, block = [], block[new[-1] + 1 :]
-            elif held and (held[-1][-1, :3] != block[0, :3]).any():
-                yield found(np.concatenate(held))
-                held = []
-            held.append(block)
-        if held:
-            yield found(np.concatenate(held))
-
-    return keyed.mapInArrow(rows, "u long, v long")
+    bands = [F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m))) for i, m in enumerate(masks(n, radius))]
+    keyed = fps.select(F.explode(F.array(*bands)).alias("key"), F.col("fp").alias("id"), "fp")
+    return star_links(keyed, n * len(bands), radius, tree_rows)
 
 
 def star_components(edges: DataFrame, name: str = "edges") -> DataFrame:
@@ -177,6 +202,10 @@ def star_components(edges: DataFrame, name: str = "edges") -> DataFrame:
     def state(df: DataFrame):
         return df.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % (1 << 30))).first()
 
+    def same(df: DataFrame, other: DataFrame) -> bool:
+        """For two sets of equally many links."""
+        return df.join(other, ["u", "v"], "left_anti").isEmpty()
+
     now = written(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), name)
     was = state(now)
     while was[0]:
@@ -185,8 +214,8 @@ def star_components(edges: DataFrame, name: str = "edges") -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         lowest = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(lowest, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = written(small.union(lowest.select("u", F.col("m").alias("v"))).distinct(), name)
-        if (then := state(now)) == was:
+        before, now = now, written(small.union(lowest.select("u", F.col("m").alias("v"))).distinct(), name)
+        if (then := state(now)) == was and same(now, before):
             break
         was = then
     return now.select(F.col("u").alias("v"), F.col("v").alias("root"))
@@ -201,10 +230,3 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, width: int = WIDTH, t
     lowest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     labelled = rooted.join(lowest, "root").select("fp", "component_id")
     return marked.join(labelled, "fp").select("doc_id", "fp", "component_id")
-
-
-def representatives(docs: DataFrame, radius: int = RADIUS, width: int = WIDTH) -> DataFrame:
-    """The rows of docs with one document of each group, the one with the smallest doc_id. Rows that share a doc_id
-    (null counts as one) are one document."""
-    kept = near_duplicates(docs, radius, width).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(kept["__kept"]), "left_semi").dropDuplicates(["doc_id"])

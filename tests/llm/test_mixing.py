@@ -33,7 +33,7 @@ def slow_mix(rows):
     for source in sizes:
         shift = int(hashlib.md5(f"7:{'n' if source is None else 's' + source}".encode()).hexdigest()[:5], 16) / (1 << 20)
         own = [(size(t), "" if d is None else str(d), d) for d, t, s in rows if s == source]
-        own.sort(key=lambda x: (len(str(x[0])) * 100 + int(str(x[0])[:2]), int(hashlib.md5(x[1].encode()).hexdigest()[:15], 16), x[2] is not None, x[2] or 0, x[0]))
+        own.sort(key=lambda x: (len(str(x[0])) * 100 + int(str(x[0])[:2]), int(hashlib.md5(f"{x[1]}:{x[0]}".encode()).hexdigest()[:15], 16), x[2] is not None, x[2] or 0, x[0]))
         each = target[source] / sizes[source] if sizes[source] else 0.0
         for i, (n, _, d) in enumerate(own):
             copies = min(math.floor((i + 1) * each + shift) - math.floor(i * each + shift), math.ceil(each))
@@ -64,6 +64,19 @@ def test_mix(spark, monkeypatch, range_rows):
     assert sorted(result(spark, rows_of()), key=key) == sorted(got, key=key)
 
 
+def test_many_rows_without_doc_id(spark, monkeypatch):
+    """Of one doc_id and size they are one hash, and are still dealt out: no window sees more than a few."""
+    monkeypatch.setattr(mixing, "RANGE_ROWS", 5)
+    monkeypatch.setattr(mixing, "RANGES", 100)
+    rows = [(None, "w " * 10, "a") for _ in range(400)] + [(None, "w " * (10 + i % 2), "b") for i in range(300)] + [(i, "w " * 10, "b") for i in range(100)]
+    rows += [(7, "w " * 10, "a")] * 90
+    assert sorted(result(spark, rows), key=key) == sorted(slow_mix(rows), key=key)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("size", mixing.word_count())
+    keyed = docs.selectExpr("source as __key", "1 as __class", "0 as __range", "xxhash64(doc_id, size) as __hash", "monotonically_increasing_id() as __row")
+    parts = [r["count"] for r in mixing.parted(keyed, 20).groupBy("__key", "__part", "__sub").count().collect()]
+    assert sum(parts) == len(rows) and max(parts) <= 120  # 100 ids of one size stay together
+
+
 def test_targets_and_empty_tables(spark):
     assert result(spark, []) == []
     got = result(spark, [(1, None, "a"), (2, "", None)])

@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from marlstone.llm import near_copies
 from marlstone.llm.common import space_words
 
@@ -20,7 +22,8 @@ def slow_kept(rows):
     return sorted(min(d for (d, _), x in zip(rows, label, strict=True) if x == a) for a in set(label))
 
 
-def test_finds_every_pair_of_similarity(spark, table):
+@pytest.mark.parametrize("bounds", [{}, {"tree_rows": 4, "cell_shingles": 600}])
+def test_finds_every_pair_of_similarity(spark, table, bounds):
     rng = random.Random(8)
     words = [f"w{i}" for i in range(3000)]
     rows = []
@@ -32,12 +35,32 @@ def test_finds_every_pair_of_similarity(spark, table):
                 copy[rng.randrange(len(copy))] = rng.choice(words)
             rows.append((len(rows), " ".join(copy)))
     rows += [(900, None), (901, ""), (902, "a b"), (903, "A  b"), (904, "a c"), (905, "z " * 9000), (906, "z " * 20)]
-    got = sorted(r.doc_id for r in near_copies.representatives(table(rows)).collect())
+    got = sorted(r.doc_id for r in near_copies.representatives(table(rows), **bounds).collect())
     assert got == slow_kept(rows) and len(got) < len(rows) - 40
 
 
-def test_rows_of_one_id_are_told_apart(spark, table):
-    rows = [(None, "one two three four five six"), (None, "other words that have nothing in common"), (7, "some text of its own here"), (7, "and still another one of these"), (7, "some text of its own here"), (8, "one two three four five six")]
-    out = sorted((r.doc_id or 0, r.text) for r in near_copies.representatives(table(rows)).collect())
-    assert out == [(0, rows[1][1]), (7, rows[3][1]), (7, rows[2][1]), (8, rows[5][1])]
+@pytest.mark.parametrize("parts", [1, 2, 3, 7])
+def test_rows_of_one_id_are_told_apart(spark, table, parts):
+    a, b, c, d = "one two three four five six", "other words that have nothing in common", "some text of its own here", "and still another one of these"
+    rows = [(None, a), (None, b), (7, c), (7, d), (7, c), (8, a), (3, a), (5, a), (5, b), (None, None), (None, "")]
+    out = [(r.doc_id, r.text or "") for r in near_copies.representatives(table(rows).repartition(parts)).collect()]
+    assert sorted(out, key=str) == sorted([(3, a), (5, b), (7, c), (7, d), (None, "")], key=str)
+
+
+def test_empty_and_clashing(spark, table):
     assert near_copies.representatives(table([])).count() == 0
+    docs = spark.createDataFrame([(1, "a b c d", 5, 6, 7), (2, "a b c d", 8, 9, 1)], "doc_id long, text string, fp int, row int, set int")
+    assert [tuple(r) for r in near_copies.representatives(docs).collect()] == [(1, "a b c d", 5, 6, 7)]
+
+
+def test_large_group_of_near_copies(spark, table):
+    rng = random.Random(1)
+    base = [f"w{rng.randrange(3000)}" for _ in range(150)]
+    rows = []
+    for i in range(1500):
+        copy = list(base)
+        copy[rng.randrange(150)] = f"x{rng.randrange(10**6)}"  # a similarity of 0.87
+        rows.append((i, " ".join(copy)))
+    rows += [(5000 + i, " ".join(f"w{rng.randrange(3000)}" for _ in range(80))) for i in range(200)]
+    got = sorted(r.doc_id for r in near_copies.representatives(table(rows), tree_rows=100, cell_shingles=1 << 15).collect())
+    assert got == [0, *range(5000, 5200)]

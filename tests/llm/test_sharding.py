@@ -49,6 +49,13 @@ def test_query(spark, sf):
 
 
 def test_clashing_columns(spark):
-    docs = spark.createDataFrame([(1, "a", 7, "x"), (2, "b", 8, "y")], "doc_id long, text string, group long, bucket string")
+    docs = spark.createDataFrame([(1, "a", 7, "x", 99), (2, "b", 8, "y", 98)], "doc_id long, text string, group long, bucket string, shard long")
     out = sharding.assign(docs)
-    assert out.columns == ["doc_id", "text", "group", "bucket", "size", "shard", "slot"] and sorted(r.group for r in out.collect()) == [7, 8]
+    assert out.columns == ["doc_id", "text", "group", "bucket", "_shard", "size", "shard", "slot"]
+    assert sorted((r.group, r._shard) for r in out.collect()) == [(7, 99), (8, 98)] and all(r.shard < 24 for r in out.collect())
+
+
+def test_one_hot_row(spark, table, monkeypatch):
+    monkeypatch.setattr(sharding, "BUCKET_ROWS", 20)
+    rows = [(1, "same")] * 300 + [(i, f"t{i}") for i in range(100)]
+    checked(table(rows), rows, 4)

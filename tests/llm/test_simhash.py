@@ -79,8 +79,6 @@ def test_near_duplicates(spark, table, tree_rows):
     want = components([d for d, _ in rows], fps)
     assert len(out) == len(rows)
     assert {(r.doc_id, r.fp % (1 << 64)): r.component_id for r in out} == want
-    kept = [r.doc_id for r in simhash.representatives(table(rows)).collect()]
-    assert sorted(kept, key=str) == sorted(set(want.values()), key=str)
 
 
 def test_chain_of_links(spark):
@@ -94,9 +92,23 @@ def test_chain_of_links(spark):
 
 def test_empty(spark, table):
     assert simhash.near_duplicates(table([])).count() == 0
-    assert simhash.representatives(table([])).count() == 0
 
 
-def test_clashing_columns(spark):
-    docs = spark.createDataFrame([(1, "a b c d", 5, 6, 7), (2, "a b c d", 8, 9, 1)], "doc_id long, text string, fp int, __kept int, component_id int")
-    assert [tuple(r) for r in simhash.representatives(docs).collect()] == [(1, "a b c d", 5, 6, 7)]
+def test_points_of_one_fingerprint_and_hot_keys(spark):
+    rng = np.random.default_rng(4)
+    rows = [(int(k), 100 * int(k) + i, int(f)) for k in range(4) for i, f in enumerate(rng.integers(0, 4, 30) * 0x0F0F0F)]
+    rows += [(9, 5000 + i, f) for i, f in enumerate([0, 1, 1 << 62, (1 << 62) - 1])]
+    df = spark.createDataFrame(rows, "key long, id long, fp long")
+    for tree_rows in (4096, 7):
+        found = {r.v: r.root for r in simhash.star_components(simhash.star_links(df, len(rows), 3, tree_rows)).collect()}
+        want = {}
+        for k in {r[0] for r in rows}:
+            own = [r for r in rows if r[0] == k]
+            label = {r[1]: r[1] for r in own}
+            for a in own:
+                for b in own:
+                    if bin(a[2] ^ b[2]).count("1") <= 3:
+                        x, y = sorted((label[a[1]], label[b[1]]))
+                        label = {i: x if r == y else r for i, r in label.items()}
+            want |= {i: r for i, r in label.items() if i != r}
+        assert found == want
