@@ -1,13 +1,11 @@
 """Quality classifier: interpolated modified Kneser-Ney trigram model of trusted text, perplexity per document, thresholds
 by language.
 
-``classify`` counts the n-grams of all trusted documents in hash shards (``ngram_shards``). ``fit`` makes the same model of a
-bounded sample as tables in memory, for small inputs.
-
-Perplexity is per word, with an end mark after each text; unknown words share what the model leaves to them. The threshold
-of a language is the quantile ``QUANTILE`` of the perplexities of its trusted documents, each by the counts without its own,
-times ``SLACK``; a language without trusted documents has the threshold of all. A document is kept if its perplexity is at
-most the threshold.
+The n-grams of all trusted documents are counted in hash shards, which the documents' n-grams are joined with
+(``ngram_shards``). Perplexity is per word, with an end mark after each text; unknown words share what the model leaves to
+them. The threshold of a language is the quantile ``QUANTILE`` of the perplexities of its trusted documents, each by the
+counts without its own; a language without trusted documents has the threshold of all. A document is kept if its perplexity
+is at most the threshold.
 
 Null and empty texts have only the end mark to predict and are not kept. A null language is a language of its own.
 Repeated rows are scored one by one. With nothing to learn from, everything with a word is kept.
@@ -15,176 +13,16 @@ Repeated rows are scored one by one. With nothing to learn from, everything with
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from dataclasses import dataclass
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.llm import ngram_shards
-from marlstone.llm.common import space_words, text_bytes, written
-
-TRAIN_DOCS, TRAIN_WORDS, SHARDS, QUANTILE, SLACK = 4000, 1_000_000, 8, 0.995, 1.5
-START, END, OTHER, FIRST = 0, 1, 2, 3  # word numbers; known words follow
-BITS = 21
-
-
-def sample(docs: DataFrame, trusted: DataFrame, most: int = TRAIN_DOCS) -> DataFrame:
-    """draw, doc_id and text of the bounded sample; trusted has doc_id."""
-    few = trusted.orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(most)
-    known = docs.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text"))
-    return known.join(F.broadcast(few), "doc_id").select(F.md5(F.col("doc_id").cast("string")).alias("draw"), "doc_id", "text")
-
-
-def numbered(texts: list[bytes]) -> tuple[dict[bytes, int], list[np.ndarray]]:
-    """A number for each word, and each text as numbers between two start marks and an end mark."""
-    vocabulary: dict[bytes, int] = {}
-    lines = [[START, START, *(vocabulary.setdefault(w, len(vocabulary) + FIRST) for w in space_words(t)), END] for t in texts]
-    return vocabulary, [np.array(x, np.int64) for x in lines]
-
-
-def discounts(counts: DataFrame) -> tuple[float, float, float]:
-    """Modified Kneser-Ney discounts of the counts 1, 2 and above, from the counts of counts of column n."""
-    n = {r[0]: r[1] for r in counts.where("n <= 4").groupBy("n").count().collect()}
-    n1, n2, n3, n4 = (n.get(i, 0) for i in (1, 2, 3, 4))
-    if not n1 or not n2:
-        return 0.5, 0.75, 0.9
-    y = n1 / (n1 + 2 * n2)
-    return tuple(min(max(d, 0.05), i - 0.05) for i, d in ((1, 1 - 2 * y * n2 / n1), (2, 2 - 3 * y * n3 / n2), (3, 3 - 4 * y * n4 / max(n3, 1))))
-
-
-def interpolation(counts: DataFrame, context: list[str]) -> tuple[DataFrame, DataFrame]:
-    """counts: n-gram columns and n. Returns the discounted share of each n-gram, and what each context leaves to the
-    order below; the contexts' sums are joined to the n-grams by their key."""
-    d1, d2, d3 = discounts(counts)
-    cut = F.when(F.col("n") == 1, d1).when(F.col("n") == 2, d2).otherwise(d3)
-    if not context:
-        total = counts.agg(F.sum("n").alias("total"), F.sum(cut).alias("left")).first()
-        return counts.withColumn("share", (F.col("n") - cut) / F.lit(float(total[0] or 1))), counts.sparkSession.createDataFrame([((total[1] or 0.0) / (total[0] or 1),)], "left double")
-    sums = counts.groupBy(*context).agg(F.sum("n").alias("total"), (F.sum(cut) / F.sum("n")).alias("left"))
-    return counts.join(sums.select(*context, "total"), context).withColumn("share", (F.col("n") - cut) / F.col("total")), sums
-
-
-@dataclass
-class Table:
-    """Keys in shards by their hash, each shard sorted, and a value for each key."""
-
-    keys: list[np.ndarray]
-    values: list[np.ndarray]
-
-    @classmethod
-    def of(cls, keys: np.ndarray, values: np.ndarray, shards: int = SHARDS) -> Table:
-        shard, order = cls.shard(keys, shards), np.argsort(keys)
-        parts = [order[shard[order] == i] for i in range(shards)]
-        return cls([keys[p] for p in parts], [values[p].astype(np.float32) for p in parts])
-
-    @staticmethod
-    def shard(keys: np.ndarray, shards: int) -> np.ndarray:
-        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) % shards
-
-    def join(self, keys: np.ndarray, missing: float) -> np.ndarray:
-        """The value of each key, shard after shard."""
-        out, shard = np.full(len(keys), missing), self.shard(keys, len(self.keys))
-        for i, (own, values) in enumerate(zip(self.keys, self.values, strict=True)):
-            if len(own):
-                at = np.flatnonzero(shard == i)
-                place = np.minimum(np.searchsorted(own, keys[at]), len(own) - 1)
-                hit = own[place] == keys[at]
-                out[at[hit]] = values[place[hit]]
-        return out
-
-
-@dataclass
-class Model:
-    vocabulary: dict[bytes, int]
-    three: Table  # share of a trigram
-    left3: Table  # what a pair of words leaves to bigrams
-    two: Table
-    left2: Table
-    one: np.ndarray  # probability of each word number
-
-    def numbers(self, data: bytes | None) -> np.ndarray:
-        get = self.vocabulary.get
-        return np.array([START, START, *(get(w, OTHER) for w in space_words(data)), END], np.int64)
-
-    def logs(self, a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
-        """Log probability of c after a, b."""
-        low = self.two.join(b << BITS | c, 0.0) + self.left2.join(b, 1.0) * self.one[c]
-        return np.log(self.three.join((a << BITS | b) << BITS | c, 0.0) + self.left3.join(a << BITS | b, 1.0) * low)
-
-    def perplexities(self, texts: list[bytes | None]) -> list[float]:
-        lines = [self.numbers(t) for t in texts]
-        if not lines:
-            return []
-        line, ends = np.concatenate(lines), np.cumsum([len(x) for x in lines])
-        logs = self.logs(line[:-2], line[1:-1], line[2:])
-        sums = np.r_[0.0, np.cumsum(logs)]
-        # a text's words are those from its third number on
-        return [float(np.exp(-(sums[e - 2] - sums[e - len(x)]) / (len(x) - 2))) for e, x in zip(ends.tolist(), lines, strict=True)]
-
-
-def fit(docs: DataFrame, trusted: DataFrame, most: int = TRAIN_DOCS, most_words: int = TRAIN_WORDS) -> tuple[Model | None, list[int]]:
-    """The model and the doc_ids of its sample."""
-    spark, texts, ids, total = docs.sparkSession, [], [], 0
-    for _, doc_id, text in sample(docs, trusted, most).orderBy("draw", "doc_id", "text").toLocalIterator():
-        total += len(space_words(text))
-        if total > most_words:
-            break
-        texts.append(bytes(text))
-        ids.append(doc_id)
-    if not texts:
-        return None, []
-    vocabulary, lines = numbered(texts)
-    line = pa.table({"line": pa.array([x.tolist() for x in lines], pa.list_(pa.int64()))})
-    words = written(spark.createDataFrame(line).repartition(spark.sparkContext.defaultParallelism), "train")
-    grams = words.select(F.explode(F.transform(F.sequence(F.lit(2), F.size("line") - 1), lambda i: F.struct(F.get("line", i - 2).alias("a"), F.get("line", i - 1).alias("b"), F.get("line", i).alias("c")))).alias("g")).select("g.*")
-    three = written(grams.groupBy("a", "b", "c").agg(F.count("*").alias("n")), "trigrams")
-    two = written(three.groupBy("b", "c").agg(F.count("*").alias("n")), "bigrams")
-    one = two.groupBy("c").agg(F.count("*").alias("n"))
-    share3, sums3 = interpolation(three, ["a", "b"])
-    share2, sums2 = interpolation(two, ["b"])
-    share1, sums1 = interpolation(one, [])
-    table = lambda df, key, value: Table.of(*(x.to_numpy() for x in df.select(key.alias("key"), F.col(value)).toArrow().combine_chunks().columns))
-    pair = F.shiftleft(F.col("a"), BITS).bitwiseOR(F.col("b"))
-    size = len(vocabulary) + FIRST
-    own = share1.select("c", "share").toArrow()
-    base = np.full(size, sums1.first()[0] / (size - 1))  # all but the start mark can come next
-    base[own["c"].to_numpy()] += own["share"].to_numpy()
-    return Model(
-        vocabulary,
-        table(share3, F.shiftleft(pair, BITS).bitwiseOR(F.col("c")), "share"),
-        table(sums3, pair, "left"),
-        table(share2, F.shiftleft(F.col("b"), BITS).bitwiseOR(F.col("c")), "share"),
-        table(sums2, F.col("b"), "left"),
-        base,
-    ), ids
-
-
-def perplexity(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, lang, n_words and perplexity of every row."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = b.column(2).to_pylist()
-            made: list[float] = []
-            at = 0
-            while at < len(texts):  # about a million bytes at a time
-                end, size = at, 0
-                while end < len(texts) and (end == at or size < 1 << 20):
-                    size += len(texts[end] or b"")
-                    end += 1
-                made += shared.value.perplexities(texts[at:end])
-                at = end
-            n = [len(space_words(t)) for t in texts]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(made, pa.float64())], ["doc_id", "lang", "n_words", "perplexity"])
+from marlstone.llm.common import written
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), text_bytes()).mapInArrow(rows, "doc_id long, lang string, n_words long, perplexity double")
+QUANTILE = 0.995
 
 
-def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, slack: float = SLACK) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
     """doc_id, lang, n_words, perplexity, threshold and kept of every document."""
     trusted = labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
     found = ngram_shards.perplexities(docs, trusted)
@@ -198,5 +36,5 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, sla
     every = told.agg(at).first()[0]
     key = F.coalesce(F.concat(F.lit("s"), F.col("lang")), F.lit("n"))
     joined = scored.withColumn("key", key).join(limits.select(key.alias("key"), "limit"), "key", "left")
-    joined = joined.withColumn("threshold", F.coalesce("limit", F.lit(every)) * slack)
+    joined = joined.withColumn("threshold", F.coalesce("limit", F.lit(every)))
     return joined.select("doc_id", "lang", "n_words", "perplexity", "threshold", ((F.col("n_words") > 0) & F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True))).alias("kept"))

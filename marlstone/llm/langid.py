@@ -13,7 +13,8 @@ shorter texts have lower cosines. A centroid with fewer than ``OWN`` texts of a
 length that too few texts reach (``OWN``, or half of them) has that of the length before.
 
 The model is fitted on a bounded sample: at most ``per_language`` texts of a language, those with the smallest hash of
-doc_id, at most ``SAMPLE`` in all. Prediction reads whole texts of all rows and nothing but the text.
+doc_id and text, at most ``SAMPLE`` in all; rows that share both count once, and rows without doc_id are drawn as others are.
+Prediction reads whole texts of all rows and nothing but the text.
 
 A null text, or one without letters, is ``und`` with score 0 and rejected. With no rows to learn from, every text is.
 Repeated rows are predicted alike; ties go to the first centroid in order of languages.
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import LOWER, text_bytes
+from marlstone.llm.common import LOWER, lean, text_bytes
 
 DIMENSIONS, CLUSTERS, PER_LANGUAGE, SAMPLE, SLACK = 4096, 4, 800, 4000, 1.0
 LENGTHS, OWN, REST, FOUNDED = tuple(1 << i for i in range(3, 13)), 200, 0.005, 0.01
@@ -141,17 +142,19 @@ def fit_rows(texts: list[bytes], languages: list[str], clusters: int = CLUSTERS,
 
 def fit(rows: DataFrame, clusters: int = CLUSTERS, per_language: int = PER_LANGUAGE, slack: float = SLACK) -> Model:
     """rows: doc_id, text and lang of labelled documents, of which the bounded sample is taken."""
+    drawn = F.conv(F.substring(F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.xxhash64("text").cast("string"))), 1, 8), 16, 10)
     known = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    found = {r[0]: r[1] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(SAMPLE).collect()}
+    known = known.select(F.col("lang").cast("string").alias("lang"), text_bytes().alias("text"), drawn.cast("long").alias("draw"))
+    found = {r[0]: r[1] for r in known.groupBy("lang").agg(F.approx_count_distinct("draw", 0.02).alias("n"), F.count("*").alias("rows")).orderBy(F.desc("rows"), "lang").limit(SAMPLE).collect()}
     if not found:
         return fit_rows([], [], clusters, slack)
     quota = max(1, min(per_language, SAMPLE // len(found)))
-    draw = F.conv(F.substring(F.md5(F.col("doc_id").cast("string")), 1, 8), 16, 10).cast("double") / float(1 << 32)
-    share = F.element_at(F.create_map(*(x for lang, n in found.items() for x in (F.lit(lang), F.lit(min(1.0, (2.0 * quota + 40) / n))))), F.col("lang"))
-    few = known.select(F.col("doc_id").cast("long"), text_bytes().alias("text"), F.col("lang").cast("string"), draw.alias("draw")).where(F.col("draw") < share)
-    first = Window.partitionBy("lang").orderBy("draw", "doc_id", F.xxhash64("text"))
+    # a hash below the share is drawn; twice as many as are needed pass, and all of a language with few
+    share = F.element_at(F.create_map(*(x for lang, n in found.items() for x in (F.lit(lang), F.lit(min(1.0, (2.2 * quota + 60) / max(n, 1)))))), F.col("lang"))
+    few = known.where(F.col("draw") <= share * float(1 << 32)).groupBy("lang", "draw").agg(F.min("text").alias("text"))
+    first = Window.partitionBy("lang").orderBy("draw")
     sample = few.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= quota)
-    taken = [(r[0], r[1]) for r in sample.select("lang", "text").orderBy("lang", "nth").toLocalIterator() if r[1] and any(map(str.isalpha, r[1].decode()))]
+    taken = [(r[0], bytes(r[1])) for r in sample.select("lang", "text").orderBy("lang", "nth").toLocalIterator() if r[1] and any(map(str.isalpha, r[1].decode()))]
     return fit_rows([t for _, t in taken], [lang for lang, _ in taken], clusters, slack)
 
 
@@ -163,13 +166,13 @@ def predict(docs: DataFrame, model: Model, *columns: str, text: str = "text", wi
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [shared.value.predict(x) for x in b.column(b.num_columns - 1).to_pylist()]
+            found = [shared.value.predict(x.as_py()) for x in b.column(b.num_columns - 1)]
             made = [pa.array([f[i] for f in found], kind) for i, kind in enumerate((pa.string(), pa.float64(), pa.bool_()))]
             last = b.num_columns if with_text else b.num_columns - 1
             yield pa.RecordBatch.from_arrays([*b.columns[:last], *made], [*b.schema.names[:last], "lang_pred", "score", "rejected"])
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema][: None if with_text else -1]
-    return kept.mapInArrow(rows, ", ".join([*fields, "lang_pred string, score double, rejected boolean"]))
+    return kept.mapInArrow(lean(rows), ", ".join([*fields, "lang_pred string, score double, rejected boolean"]))
 
 
 def held_out():

@@ -19,31 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import alnum_words, text_bytes
-
-# The base phrases and their labels.
-BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
-
-# Wording of public licenses and notices, with their optional and replaceable regions.
-TEMPLATES = [
-    ("mit", "under the <<optional>>terms of the<<end>> mit license"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files <<optional>>the software<<end>> to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software"),
-    ("apache-2", "apache license version 2 <<optional>>0<<end>>"),
-    ("apache-2.0", "licensed under the apache license version 2 0 <<optional>>the license<<end>>"),
-    ("gpl-3", "under the <<optional>>terms of the<<end>> gnu general public license <<optional>>as published by the free software foundation<<end>> <<optional>>either<<end>> version 3"),
-    ("gpl-2", "under the <<optional>>terms of the<<end>> gnu general public license <<optional>>as published by the free software foundation<<end>> <<optional>>either<<end>> version 2"),
-    ("lgpl", "under the <<optional>>terms of the<<end>> gnu lesser general public license"),
-    ("agpl", "under the <<optional>>terms of the<<end>> gnu affero general public license"),
-    ("cc-by-nc", "cc by nc"),
-    ("cc-by-nc-4.0", "under <<optional>>a<<end>> <<optional>>the<<end>> cc by nc 4 0"),
-    ("cc-by", "under <<optional>>a<<end>> <<optional>>the<<end>> creative commons attribution <<any 2>> license"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
-    ("isc", "permission to use copy modify and <<optional>>or<<end>> distribute this software for any purpose with or without fee is hereby granted"),
-    ("unlicense", "this is free and unencumbered software released into the public domain"),
-    ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0"),
-    ("all-rights-reserved", "copyright <<any 12>> all rights reserved"),
-    ("all-rights-reserved", "all rights reserved"),
-]
+from marlstone.llm.common import alnum_words, lean, text_bytes
+from marlstone.llm.license_texts import BASE, TEMPLATES
 
 _MARK = re.compile(r"<<\s*(optional|end|any\s+(\d+))\s*>>")
 
@@ -163,10 +140,60 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, base: di
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(templates, base)
         for b in batches:
-            found = [scanner.scan(x) for x in b.column(1).to_pylist()]
+            found = [scanner.scan(x.as_py()) for x in b.column(1)]
             columns = [pa.array([f[i] for f in found], kind) for i, (_, kind) in enumerate(fields)]
             columns.append(pa.array([[dict(zip(("label", "first", "end", "score"), m, strict=True)) for m in f[7]] for f in found], pa.list_(match)))
             yield pa.RecordBatch.from_arrays([b.column(0), *columns], ["doc_id", *(n for n, _ in fields), "matches"])
 
     schema = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, matches array<struct<label:string,first:bigint,end:bigint,score:double>>"
-    return docs.select(F.col("doc_id").cast("long"), text_bytes()).mapInArrow(rows, schema)
+    return docs.select(F.col("doc_id").cast("long"), text_bytes()).mapInArrow(lean(rows), schema)
+
+
+def as_regex(template: str) -> tuple[str, str, int, int]:
+    """A template over a line of words with a space before each: the words before its first region, a regular expression, how
+    many words are mandatory and the most that a match has."""
+    found, opened, mandatory, most, anchor, plain = "", 0, 0, 0, [], True
+    for piece in re.split(r"(<<[^>]*>>)", template):
+        if mark := _MARK.fullmatch(piece.strip()):
+            plain = False
+            found += {"optional": "(?:", "end": ")?"}.get(mark[1], f"(?: [^ ]+){{0,{mark[2]}}}")
+            opened += {"optional": 1, "end": -1}.get(mark[1], 0)
+            most += int(mark[2] or 0)
+            continue
+        words = [w.decode() for w in alnum_words(piece.encode())]
+        found += "".join(f" {w}" for w in words)
+        mandatory, most = mandatory + len(words) * (not opened), most + len(words)
+        anchor += words * plain
+    return " ".join(anchor), found, mandatory, most
+
+
+def _rows(rows: list[tuple]) -> str:
+    return ", ".join("(" + ", ".join(str(x) if isinstance(x, int) else "'" + x + "'" for x in r) + ")" for r in rows)
+
+
+#: The same in DuckDB, for a table documents, with the templates as regular expressions.
+SQL = rf"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
+lines AS (SELECT r, words, ' ' || array_to_string(words, ' ') || ' ' AS line FROM docs),
+base AS (SELECT * FROM (VALUES {_rows([(phrase, label, len(phrase.split()), phrase.split()[0]) for phrase, label in BASE.items()])}) AS t(phrase, label, n, first)),
+told AS (
+  SELECT * FROM (SELECT r, words, phrase, label, n, first, unnest(range(1, len(words) + 1)) AS i FROM lines, base WHERE contains(line, ' ' || phrase || ' '))
+  WHERE words[i] = first AND array_to_string(words[i:i + n - 1], ' ') = phrase),
+templates AS (SELECT * FROM (VALUES {_rows([(label, *as_regex(t)) for label, t in TEMPLATES])}) AS t(label, anchor, shape, mandatory, most)),
+starts AS (
+  SELECT * FROM (SELECT r, words, t.*, unnest(range(1, len(words) + 1)) AS i FROM lines, templates AS t WHERE contains(line, ' ' || anchor || ' '))
+  WHERE words[i] = split_part(anchor, ' ', 1)),
+tried AS (
+  SELECT r, label, mandatory, regexp_extract(' ' || array_to_string(words[i:i + most], ' '), '^(' || shape || ')(?: |$)', 1) AS match FROM starts),
+matched AS (
+  SELECT r, label, mandatory::DOUBLE / greatest(len(match) - len(replace(match, ' ', '')), mandatory) AS score FROM tried WHERE match <> ''),
+labelled AS (SELECT r, string_agg(label, ',' ORDER BY label) AS labels FROM (SELECT r, label FROM told UNION SELECT r, label FROM matched) GROUP BY r),
+counted AS (
+  SELECT r, count(*) AS n_base, min(i) - 1 AS first_word, max(i) - 1 AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM told GROUP BY r),
+scored AS (SELECT r, max(score) AS score FROM matched GROUP BY r)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
+  coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0)::DOUBLE AS score
+FROM docs LEFT JOIN counted USING (r) LEFT JOIN labelled USING (r) LEFT JOIN scored USING (r)
+"""

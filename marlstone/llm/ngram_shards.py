@@ -13,18 +13,18 @@ occurrences taken out of all counts (the discounts and the number of words stay)
 from __future__ import annotations
 
 import pickle
-import zlib
 from collections.abc import Iterator
 from typing import Any
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import space_words, text_bytes, written
+from marlstone.llm.common import lean, space_words, text_bytes, written
 
 CHUNK, SHARD = 8 << 20, 32 << 20  # bytes of text
 START, END = 0, 1
@@ -32,20 +32,20 @@ SCORED = "doc_id long, lang string, n_words long, perplexity double, own double"
 
 
 def pack(*arrays: Any) -> bytes:
-    return zlib.compress(pickle.dumps(arrays, 5), 1)
+    return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(arrays, 5))
 
 
 def unpack(data: bytes) -> Any:
-    return pickle.loads(zlib.decompress(data))
+    return pickle.loads(zstandard.ZstdDecompressor().decompress(data))
 
 
 def packed_keys(keys: np.ndarray) -> bytes:
     """Sorted keys: the first bytes of all differences, the second ones and so on, of which the upper are zero."""
-    return zlib.compress(np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
+    return zstandard.ZstdCompressor(level=1).compress(np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes())
 
 
 def unpacked_keys(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(zlib.decompress(data), np.uint8).reshape(8, -1)
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(8, -1)
     return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
 
 
@@ -106,7 +106,7 @@ def chunks(docs: DataFrame) -> DataFrame:
         if held:
             yield made(chunk, held)
 
-    return docs.mapInArrow(rows, "chunk long, data binary")
+    return docs.mapInArrow(lean(rows), "chunk long, data binary")
 
 
 def sent(cut: DataFrame, shards: int, what: str) -> DataFrame:
@@ -137,7 +137,7 @@ def sent(cut: DataFrame, shards: int, what: str) -> DataFrame:
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int32(), pa.int64(), pa.binary()), strict=True)], ["shard", "chunk", "data"])
 
-    return cut.mapInArrow(rows, "shard int, chunk long, data binary")
+    return cut.mapInArrow(lean(rows), "shard int, chunk long, data binary")
 
 
 def added(keys: np.ndarray, fields: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

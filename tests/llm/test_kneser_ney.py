@@ -39,10 +39,10 @@ def slow_model(texts):
         n = own.get((*context, c), 0)
         return (n - d[min(n, 3)]) / total + sum(d[min(n, 3)] for n in own.values()) / total * low
 
-    def perplexity(text):
+    def perplexity(text, each=False):
         words = ["<s>", "<s>", *(w if w in known else "<other>" for w in text.lower().split()), "</s>"]
         logs = [math.log(step(three, d3, (a, b), c, step(two, d2, (b,), c, p1(c)))) for a, b, c in zip(words, words[1:], words[2:], strict=False)]
-        return math.exp(-sum(logs) / len(logs))
+        return logs if each else math.exp(-sum(logs) / len(logs))
 
     return perplexity
 
@@ -53,33 +53,29 @@ def docs_of():
     return [(i, " ".join(rng.choices(words, k=rng.randint(1, 40))), "en" if i % 3 else "de") for i in range(60)]
 
 
-def test_against_definition(spark, table):
+def test_definition_sums_to_one():
+    """Of the definition that the operator is held against: after any context, the words' probabilities."""
+    texts = [t for _, t, _ in docs_of()[:30]]
+    slow = slow_model(texts)
+    known = sorted({w for t in texts for w in t.split()})
+    for context in ("", "w1 w2", "w3 nothing"):
+        before = slow(context, True)[:-1]
+        total = sum(math.exp(slow(f"{context} {w}", True)[len(before)]) for w in [*known, "<other>"]) + math.exp(slow(context, True)[-1])
+        assert total == pytest.approx(1, abs=1e-9)
+
+
+def test_thresholds_by_brute_force(spark, table):
+    """A language's threshold is the quantile of its trusted documents' own perplexities, in order."""
     docs = docs_of()
-    rows = [*docs, (100, "unseen words here", "en"), (101, "", "fr"), (102, None, None), (103, "W1 w2", None)]
-    model, ids = kn.fit(table(rows), spark.createDataFrame([(i,) for i in range(40)], "doc_id long"))
-    assert sorted(ids) == list(range(40))
-    slow = slow_model([docs[i][1] for i in ids])
-    for r in kn.perplexity(table(rows), model).collect():
-        text = dict((d, t) for d, t, _ in rows)[r.doc_id]
-        assert r.perplexity == pytest.approx(slow(text or ""), rel=1e-4)
-
-
-def test_probabilities_sum_to_one(spark, table):
-    import numpy as np
-
-    model, _ = kn.fit(table(docs_of()), spark.createDataFrame([(i,) for i in range(30)], "doc_id long"))
-    size = len(model.one)
-    for a, b in ((kn.START, kn.START), (5, 6), (7, kn.OTHER), (kn.START, 4)):
-        c = np.arange(1, size)
-        assert np.exp(model.logs(np.full(size - 1, a), np.full(size - 1, b), c)).sum() == pytest.approx(1, abs=1e-3)
-
-
-def test_bounds(spark, table):
-    trusted = spark.createDataFrame([(i,) for i in range(60)], "doc_id long")
-    _, few = kn.fit(table(docs_of()), trusted, most=10)
-    _, same = kn.fit(table(docs_of()).repartition(7), trusted, most=10)
-    _, short = kn.fit(table(docs_of()), trusted, most_words=100)
-    assert few == same and len(few) == 10 and 0 < len(short) < 20
+    rows = [*docs, (200, "w1 w2", "xx"), (201, "w1 w2 w3", None)]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(50)], "doc_id long, quality int, toxic int")
+    own = {r.doc_id: (r.lang, r.own) for r in ngram_shards.perplexities(table(rows), labels.select("doc_id")).collect() if r.own is not None and r.n_words}
+    for quantile in (0.5, 0.9, 0.995):
+        rank = lambda values, q=quantile: sorted(values)[max(0, math.ceil(q * len(values)) - 1)]
+        want = {lang: rank([p for x, p in own.values() if x == lang]) for lang in ("en", "de")}
+        every = rank([p for _, p in own.values()])
+        for r in kn.classify(table(rows), labels, quantile).collect():
+            assert r.threshold == pytest.approx(want.get(r.lang, every)) and r.kept == (r.n_words > 0 and r.perplexity <= r.threshold)
 
 
 def test_classify(spark, table):

@@ -1,4 +1,5 @@
 import base64
+import math
 import random
 
 import pytest
@@ -22,12 +23,55 @@ def test_defined_results(spark, table):
     model = langid.fit(table(train))
     rows = [(1, None), (2, ""), (3, "123 !?"), (4, "the dog and the cat"), (5, "die katze und der hund"), (None, "日本語" * 9000)]
     out = {r.doc_id: (r.lang_pred, r.rejected) for r in langid.predict(table(rows), model, "doc_id").collect()}
-    assert out[1] == out[2] == out[3] == ("und", True) and out[4] == ("en", False) and out[5] == ("de", False) and out[None][0] in ("en", "de")
+    assert out[1] == out[2] == out[3] == ("und", True) and out[4] == ("en", False) and out[5] == ("de", False)
+    assert out[None][0] in ("en", "de") and out[None][1]  # Japanese is told apart from what was learned
     nothing = langid.fit(table([(1, "text", None), (2, None, "en")]))
     assert [tuple(r) for r in langid.predict(table([(1, "some text")]), nothing, "doc_id").collect()] == [(1, "und", 0.0, True)]
     assert langid.accepted(table([])).count() == 0
 
 
+def test_no_language_vanishes(spark, table):
+    """Many rows of one doc_id, or without any, are drawn as others are; a text that repeats counts once."""
+    rows = [(7, f"eins zwei drei nummer {i} und noch ein wort", "de") for i in range(3000)]
+    rows += [(None, f"one two three number {i} and one more word", "en") for i in range(3000)]
+    rows += [(8, "uno dos tres", "es")] * 3000 + [(i, f"un deux trois {i}", "fr") for i in range(4)]
+    model = langid.fit(table(rows), per_language=50)
+    assert sorted(set(model.languages)) == ["de", "en", "es", "fr"] and model.languages.count("es") == 1
+    assert [model.predict(t)[0] for t in (b"eins zwei drei", b"one two three", b"uno dos tres", b"un deux trois")] == ["de", "en", "es", "fr"]
+
+
+def slow_vector(text, idf):
+    """Hashed byte n-grams of 1 to 3 bytes as they are defined, one by one."""
+    data = text.encode()
+    data = bytes(b + 32 if 65 <= b <= 90 else b for b in data)
+    data = b" " + b" ".join(bytes(b if b > 127 or 97 <= b <= 122 else 32 for b in data).split()) + b" "
+    found = {}
+    for n in (1, 2, 3):
+        for i in range(len(data) - n + 1):
+            code = int.from_bytes(data[i : i + n], "big") + ((n - 1) << 24)
+            slot = (code * 2654435761 % (1 << 32)) >> (32 - 12)
+            found[slot] = found.get(slot, 0) + 1
+    vector = {k: math.log1p(c) * idf[k] for k, c in found.items()}
+    length = math.sqrt(sum(x * x for x in vector.values()))
+    return {k: x / length for k, x in vector.items()}
+
+
+def test_nearest_centroid_by_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    model = langid.fit(docs)
+    out = {r.doc_id: (r.lang_pred, r.score) for r in langid.predict(docs, model, "doc_id").collect()}
+    for doc_id, text in rows[:60]:
+        if not text or not any(map(str.isalpha, text)):
+            assert out[doc_id] == ("und", 0.0)
+            continue
+        vector = slow_vector(text, model.idf)
+        cosines = [sum(x * centre[k] for k, x in vector.items()) for centre in model.centroids]
+        best = max(range(len(cosines)), key=cosines.__getitem__)
+        assert out[doc_id][1] == pytest.approx(min(1.0, cosines[best]), abs=1e-4)
+        assert out[doc_id][0] in {model.languages[i] for i, c in enumerate(cosines) if c > cosines[best] - 1e-4}
+
+
 def test_sample_is_bounded_and_deterministic(spark, table):
     docs = table([(i, f"text number {i}", "en") for i in range(500)])
     a, b = langid.fit(docs, per_language=20), langid.fit(docs.repartition(5), per_language=20)

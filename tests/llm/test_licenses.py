@@ -59,6 +59,24 @@ def test_automaton_against_regex():
         licenses.compiled("t", "<<optional>>a<<end>> b")
 
 
+def test_full_texts():
+    """Regions may be left out or replaced; a change in mandatory wording leaves only the shorter templates."""
+    scanner = licenses.Scanner()
+    for label, template in licenses.TEMPLATES:
+        regions = re.sub(r"<<any \d+>>", " Some One ", template)
+        for text in (re.sub(r"<<(optional|end)>>", " ", regions), re.sub(r"<<optional>>.*?<<end>>", " ", regions, flags=re.DOTALL)):
+            found = scanner.scan(f"Before it. {text} After it.".upper().encode())
+            assert label in found[5].split(","), (label, text)
+            anchor, _, mandatory, most = licenses.as_regex(template)
+            whole = [m for m in found[7] if m[0] == label and mandatory <= m[2] - m[1] <= most and m[1] == 2]
+            assert whole and anchor
+    mit = next(t for label, t in licenses.TEMPLATES if label == "mit" and "SHALL" in t)
+    text = re.sub(r"<<any \d+>>", "THE AUTHORS", re.sub(r"<<(optional|end)>>", " ", mit))
+    n = len(re.findall(r"\w+", text))
+    assert max(m[2] for m in scanner.scan(text.encode())[7]) > n - 5
+    assert max(m[2] for m in scanner.scan(text.replace("substantial", "minor").encode())[7]) < 30
+
+
 def test_empty_table_and_repeats(spark, table):
     assert licenses.scan(table([])).count() == 0
     out = licenses.scan(table([(1, "all rights reserved"), (1, "all rights reserved"), (None, None)])).collect()
