@@ -41,5 +41,9 @@ class LockTimeoutError(EngineError):
     pass
 
 
+class ConflictError(EngineError):
+    """Another writer has changed the same thing meanwhile."""
+
+
 class WrongStatementError(EngineError):
     """A query given to execute_update, or the other way round."""

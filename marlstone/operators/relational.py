@@ -1,24 +1,28 @@
 """The operators as functions on DataFrames: thin, so that Catalyst sees the whole query at once.
 
-Join strategies are hints; results never depend on them. A side is broadcast only if its size in bytes is known and below
-``BROADCAST_BYTES``, otherwise the join goes by a shuffle on its keys.
+Join strategies are hints; results never depend on them. A side is broadcast only if its rows and their widths have been
+counted and take at most ``BROADCAST_BYTES``, otherwise the join goes by a shuffle on its keys.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from marlstone.errors import UnknownColumnError
 from marlstone.functions.aggregates import AggregationFn
-from marlstone.functions.equality import condition
+from marlstone.functions.equality import condition, typed_eq
+from marlstone.scratch import scratch_root
 from marlstone.sql.ast import Const, Field, Predicate, Term
-from marlstone.types import Schema
+from marlstone.types import Kind, Schema
 
 BROADCAST_BYTES = 32 << 20
+FIXED = {"bigint", "double", "float", "tinyint", "timestamp", "timestamp_ntz"}
 
 
 def table_scan(spark: SparkSession, path: str, schema: Schema | None = None) -> DataFrame:
@@ -60,18 +64,33 @@ def index_select(df: DataFrame, name: str, value: int | str | bool) -> DataFrame
 
 
 def size_in_bytes(df: DataFrame) -> int:
-    """Catalyst's upper estimate of a plan's size."""
+    """Catalyst's estimate of a plan's size; of a scan, its compressed bytes."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
+def row_bytes(schema: Schema) -> int | None:
+    """The most that a row takes, if the types bound it."""
+    if any(c.kind is Kind.OTHER and c.spark not in FIXED or c.kind is Kind.VARCHAR and not c.length for c in schema.columns):
+        return None
+    return 16 + sum(8 + (c.length + 8 if c.kind is Kind.VARCHAR else 8) for c in schema.columns)
+
+
 def small(df: DataFrame) -> bool:
-    return size_in_bytes(df) <= BROADCAST_BYTES
+    """Whether all rows take at most ``BROADCAST_BYTES``, as counted. Only what is estimated to be small is looked at."""
+    if size_in_bytes(df) > BROADCAST_BYTES:
+        return False
+    texts = [F.octet_length(F.col(f"`{f.name}`").cast("string")) for f in df.schema if Schema.of(T.StructType([f])).columns[0].kind in (Kind.VARCHAR, Kind.OTHER)]
+    rows, longest = df.agg(F.count("*"), F.max(reduce(lambda a, b: a + b, [F.coalesce(t, F.lit(0)) for t in texts], F.lit(0)).cast("long"))).first()
+    return rows * (16 + 16 * len(df.columns) + (longest or 0)) <= BROADCAST_BYTES
 
 
 def join_condition(left: DataFrame, right: DataFrame, left_name: str, right_name: str) -> Column:
+    """Equality as statements mean it: of two columns whose types never compare equal, it is false."""
     known(left, [left_name])
     known(right, [right_name])
-    return left[f"`{left_name}`"] == right[f"`{right_name}`"]
+    columns = {"left": left[f"`{left_name}`"], "right": right[f"`{right_name}`"]}
+    fields = T.StructType([T.StructField("left", left.schema[left_name].dataType), T.StructField("right", right.schema[right_name].dataType)])
+    return typed_eq(Field("left"), Field("right"), Schema.of(fields), columns)
 
 
 def index_join(left: DataFrame, right: DataFrame, left_name: str, right_name: str) -> DataFrame:
@@ -87,8 +106,14 @@ def merge_join(left: DataFrame, right: DataFrame, left_name: str, right_name: st
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Computes df once for its later uses, kept on the executors' disks; lost parts are computed again."""
-    return df.persist(StorageLevel.DISK_ONLY)
+    """Computes df once for its later uses, as a temporary table in the shared folder; it goes with the driver."""
+    path = f"{scratch_root(df.sparkSession)}/temp-{uuid.uuid4().hex}"
+    plain = df.toDF(*(f"c{i}" for i in range(len(df.columns)))) if df.columns else df.select(F.lit(0).alias("c0"))  # names may repeat
+    plain.write.parquet(path)
+    where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).deleteOnExit(where)
+    found = df.sparkSession.read.schema(plain.schema).parquet(path)
+    return found.toDF(*df.columns) if df.columns else found.select()
 
 
 def sort(df: DataFrame, names: Sequence[str]) -> DataFrame:
@@ -98,7 +123,11 @@ def sort(df: DataFrame, names: Sequence[str]) -> DataFrame:
 
 
 def group_by(df: DataFrame, names: Sequence[str], functions: Sequence[AggregationFn]) -> DataFrame:
-    """A row for each group. Without names all rows are one group, and an empty input has none."""
+    """A row for each group; without functions, its key alone. Without names all rows are one group, and an empty input has
+    none."""
     known(df, names)
-    found = df.groupBy(*(F.col(f"`{n}`") for n in names)).agg(*(f.aggregate().alias(f.field_name) for f in functions), *([] if names else [F.count("*").alias("__n")]))
+    keys = [F.col(f"`{n}`") for n in names]
+    if names and not functions:
+        return df.select(*keys).distinct()
+    found = df.groupBy(*keys).agg(*(f.aggregate().alias(f.field_name) for f in functions), *([] if names else [F.count("*").alias("__n")]))
     return found if names else found.where(F.col("__n") > 0).drop("__n")

@@ -142,6 +142,35 @@ def merge_join_widened_keys(spark, d):
     return R.project(R.merge_join(table(spark, d, "nation"), table(spark, d, "supplier"), "n_nationkey", "s_suppkey"), ["n_name", "s_suppkey"])
 
 
+@query("SELECT n_name, r_name FROM nation, region WHERE FALSE")
+def merge_join_mismatch(spark, d):
+    """A number and a string are unequal, whatever they are."""
+    return R.project(R.merge_join(table(spark, d, "nation"), table(spark, d, "region"), "n_nationkey", "r_name"), ["n_name", "r_name"])
+
+
+@query("SELECT n_name, r_name FROM nation, region WHERE FALSE")
+def index_join_mismatch(spark, d):
+    return R.project(R.index_join(table(spark, d, "nation"), table(spark, d, "region"), "n_name", "r_regionkey"), ["n_name", "r_name"])
+
+
+_DAYS = "SELECT o_orderkey, n_name FROM orders, (SELECT n_name, strftime(DATE '1995-01-01' + n_nationkey::INTEGER, '%Y-%m-%d') AS day FROM nation) WHERE strftime(o_orderdate, '%Y-%m-%d') = day"
+
+
+def _days(spark, d):
+    dated = table(spark, d, "orders").select("o_orderkey", F.col("o_orderdate").cast("date").alias("date"))
+    return dated, table(spark, d, "nation").select("n_name", F.date_format(F.date_add(F.lit("1995-01-01").cast("date"), F.col("n_nationkey").cast("int")), "yyyy-MM-dd").alias("day"))
+
+
+@query(_DAYS)
+def merge_join_date_string(spark, d):
+    return R.project(R.merge_join(*_days(spark, d), "date", "day"), ["o_orderkey", "n_name"])
+
+
+@query(_DAYS)
+def index_join_date_string(spark, d):
+    return R.project(R.index_join(*_days(spark, d), "date", "day"), ["o_orderkey", "n_name"])
+
+
 @query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'F'")
 def materialize(spark, d):
     kept = R.materialize(R.select(table(spark, d, "orders"), equal("o_orderstatus", "F")))
@@ -180,7 +209,7 @@ def global_max(spark, d):
 
 @query("SELECT DISTINCT o_custkey FROM orders")
 def groupby_without_functions(spark, d):
-    return R.group_by(table(spark, d, "orders"), ["o_custkey"], [MaxFn("o_custkey")]).select("o_custkey")
+    return R.group_by(table(spark, d, "orders"), ["o_custkey"], [])
 
 
 # The SQL front end, with either planner
@@ -297,6 +326,32 @@ def dml_sequence(spark, d):
     return c.query(_READ)
 
 
+# A table in a folder for each value of a column
+
+
+def partitioned(spark: SparkSession, sf_dir: str) -> Connection:
+    """Orders by status, each status in a folder of its own, registered as they lie."""
+    path = f"{scratch_root(spark)}/orders-{uuid.uuid4().hex}"
+    table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus").write.partitionBy("o_orderstatus").parquet(path)
+    c = database(spark, sf_dir)
+    c.register_parquet("orders", path)
+    return c
+
+
+@query("SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus = 'F'")
+def partitioned_scan(spark, d):
+    return partitioned(spark, d).query("SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus = 'F';")
+
+
+@query("SELECT o_orderkey, CASE WHEN o_custkey = 7 THEN 'X' ELSE o_orderstatus END AS o_orderstatus FROM orders WHERE o_orderstatus <> 'P' AND o_custkey <> 8")
+def partitioned_changes(spark, d):
+    c = partitioned(spark, d)
+    c.update("DELETE FROM orders WHERE o_orderstatus = 'P';")
+    c.update("UPDATE orders SET o_orderstatus = 'X' WHERE o_custkey = 7;")
+    c.update("DELETE FROM orders WHERE o_custkey = 8;")
+    return c.query("SELECT o_orderkey, o_orderstatus FROM orders;")
+
+
 # The catalog and plans
 
 
@@ -332,7 +387,13 @@ def catalog_idxcat(spark, d):
     return _cataloged(spark, d).query("SELECT indexname, tablename, fieldname FROM idxcat;")
 
 
-@query()
+_EXPLAINED = "number::INTEGER AS number, depth::INTEGER AS depth, operation, name, reads::BIGINT AS reads, writes::BIGINT AS writes"
+
+
+@query(
+    f"SELECT {_EXPLAINED} FROM (VALUES (1, 0, 'PROJECT SCAN', '', 1, 5), (2, 1, 'SELECT SCAN', '', 1, 5), (3, 2, 'MULTIBUFFER PRODUCT SCAN', '', 1, 50), (4, 3, 'MATERIALIZE', '', 1, 2), "
+    "(5, 4, 'SELECT SCAN', '', 1, 2), (6, 5, 'TABLE SCAN', 'region', 1, 5), (7, 3, 'TABLE SCAN', 'nation', 1, 25)) AS t(number, depth, operation, name, reads, writes)"
+)
 def explain_plan(spark, d):
     c = database(spark, d, "nation", "region")
     plan = c.create_statement("SELECT n_name, r_name FROM nation, region WHERE n_regionkey = r_regionkey AND r_name = 'ASIA';").explain_plan()

@@ -1,8 +1,16 @@
 """The few file operations the catalog needs, on any store that Hadoop's client reaches; on the driver's own disk they go
-without it, for its client starts a process for each new file."""
+without it, for its client starts a process for each new file.
+
+A lock names its owner and the time until which it holds; one that is over is taken away by the next writer, by a rename
+that only one of them can do. The catalog's commits are short, so a lock outlives only a writer that died. And should a
+writer be held up beyond its lease, ``publish`` never replaces a file, so of two writers one commits and the other fails.
+Both hold where creating a file and renaming one are atomic, and neither replaces what is there: on local disks and HDFS.
+On object stores they aren't; there a database must have one writer at a time.
+"""
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import shutil
@@ -14,6 +22,9 @@ from pyspark.sql import SparkSession
 from marlstone.errors import LockTimeoutError
 
 
+LEASE_SECONDS = 60.0
+
+
 class Files:
     """On the driver's disk, in a folder."""
 
@@ -32,7 +43,8 @@ class Files:
             return f.read()
 
     def publish(self, name: str, text: str) -> None:
-        """Writes beside the file and renames, so that a reader finds all of it or nothing."""
+        """Writes beside the file and then gives it its name, so that a reader finds all of it or nothing. An error if there
+        is such a file."""
         path = self._path(name)
         beside = f"{path}.{uuid.uuid4().hex}.tmp"
         os.makedirs(os.path.dirname(path), exist_ok=True)
@@ -40,28 +52,59 @@ class Files:
             f.write(text)
             f.flush()
             os.fsync(f.fileno())
-        os.replace(beside, path)
+        try:
+            os.link(beside, path)
+        finally:
+            os.remove(beside)
 
     def delete(self, path: str) -> None:
         path = local(path)
         shutil.rmtree(path) if os.path.isdir(path) else os.remove(path)
 
-    def lock(self, name: str, seconds: float) -> None:
-        until = time.monotonic() + seconds
-        while not self._created(name):
-            if time.monotonic() > until:
+    def lock(self, name: str, seconds: float, lease: float = LEASE_SECONDS) -> str:
+        """Returns the owner's name, for unlock(). Waits so many seconds for another writer."""
+        owner, until = uuid.uuid4().hex, time.monotonic() + seconds
+        while not self._created(name, json.dumps({"owner": owner, "until": time.time() + lease})):
+            if self._over(name):
+                self._move(name, f"{name}.{owner}.over")
+            elif time.monotonic() > until:
                 raise LockTimeoutError(f"another writer holds {self.root}/{name}")
-            time.sleep(0.02)
+            else:
+                time.sleep(0.02)
+        return owner
+
+    def _over(self, name: str) -> bool:
+        """Whether the lock's lease has ended. One that can't be read yet is being made, or gone."""
+        try:
+            return json.loads(self.read(name))["until"] < time.time()
+        except Exception:
+            return False
+
+    def unlock(self, name: str, owner: str) -> None:
+        """Removes the lock unless another writer has taken it over."""
+        try:
+            own = json.loads(self.read(name))["owner"] == owner
+        except Exception:
+            return
+        if own:
+            self._remove(name)
 
-    def _created(self, name: str) -> bool:
-        os.makedirs(self._path(""), exist_ok=True)
+    def _created(self, name: str, text: str) -> bool:
         try:
-            os.close(os.open(self._path(name), os.O_CREAT | os.O_EXCL))
+            self.publish(name, text)
             return True
         except FileExistsError:
             return False
 
-    def unlock(self, name: str) -> None:
+    def _move(self, name: str, to: str) -> None:
+        """Of several writers only one finds the file."""
+        try:
+            os.rename(self._path(name), self._path(to))
+            os.remove(self._path(to))
+        except FileNotFoundError:
+            pass
+
+    def _remove(self, name: str) -> None:
         os.remove(self._path(name))
 
 
@@ -93,22 +136,19 @@ class HadoopFiles(Files):
         stream = self.fs.create(beside, False)
         stream.write(bytearray(text.encode()))
         stream.close()
-        if not self.fs.rename(beside, self._path(name)):
-            raise OSError(f"{self.root}/{name} can't be published")
+        # a local disk's client renames over what is there; HDFS doesn't
+        if self.fs.exists(self._path(name)) or not self.fs.rename(beside, self._path(name)):
+            self.fs.delete(beside, False)
+            raise FileExistsError(f"{self.root}/{name}")
 
     def delete(self, path: str) -> None:
         self.fs.delete(self.jvm.org.apache.hadoop.fs.Path(path), True)
 
-    def _created(self, name: str) -> bool:
-        try:
-            self.fs.create(self._path(name), False).close()
-            return True
-        except Exception as e:  # the store's way to say that it exists
-            if "AlreadyExists" in str(e):
-                return False
-            raise
+    def _move(self, name: str, to: str) -> None:
+        if self.fs.rename(self._path(name), self._path(to)):
+            self.fs.delete(self._path(to), False)
 
-    def unlock(self, name: str) -> None:
+    def _remove(self, name: str) -> None:
         self.fs.delete(self._path(name), False)
 
 

@@ -1,10 +1,11 @@
 import pytest
 import university
+from pyspark.sql import functions as F
 
 from marlstone.errors import UnknownColumnError
 from marlstone.functions.aggregates import MaxFn
 from marlstone.operators import relational as R
-from marlstone.plans.nodes import Config, GroupByNode, MaterializeNode, MergeJoinNode, SortNode, TableNode
+from marlstone.plans.nodes import Config, GroupByNode, MaterializeNode, MergeJoinNode, SelectNode, SortNode, TableNode
 from marlstone.sql.ast import Const, Field, Predicate, Term
 from marlstone.types import Schema
 
@@ -35,6 +36,9 @@ def test_joins_agree(student, dept):
 def test_broadcast_needs_a_small_side(student, dept, spark, monkeypatch):
     small = spark.range(3).selectExpr("cast(id * 10 as int) as did")
     assert "BroadcastHashJoin" in plan_of(R.index_join(student, small, "major_id", "did"))
+    wide = spark.createDataFrame([("x" * 5000, i) for i in range(100)], "t string, did int")
+    monkeypatch.setattr(R, "BROADCAST_BYTES", 100 * 5000)
+    assert not R.small(wide) and R.small(wide.limit(90))  # as counted
     monkeypatch.setattr(R, "BROADCAST_BYTES", 1)
     assert not R.small(small) and R.index_join(student, small, "major_id", "did").count() == 7
 
@@ -44,12 +48,21 @@ def test_widened_keys(student, spark):
     assert R.merge_join(student, wide, "grad_year", "y").count() == 3
 
 
+def test_types_that_never_equal(student, dept, spark):
+    days = spark.createDataFrame([("2002-06-22",), ("x",)], "day string").select(F.expr("cast('2002-06-22' as date)").alias("date"), "day")
+    for join in (R.merge_join, R.index_join):
+        assert join(student, dept, "sid", "dname").count() == join(student, dept, "sname", "did").count() == 0
+        assert join(days.select("date"), days.select("day"), "date", "day").count() == 2
+        assert join(student, student.select(F.col("sname").alias("other")), "sname", "other").count() == 9
+
+
 def test_sort_and_group(student):
     assert [r.sname for r in R.sort(student, ["grad_year", "sname"]).collect()] == ["pat", "amy", "bob", "kim", "art", "joe", "lee", "max", "sue"]
     out = R.group_by(student, ["major_id"], [MaxFn("grad_year")])
     assert out.schema["maxofgrad_year"].dataType == student.schema["grad_year"].dataType
     assert sorted(tuple(r) for r in out.collect()) == [(10, 2022), (20, 2022), (30, 2021)]
     assert R.group_by(student, [], [MaxFn("sname")]).first()[0] == "sue"
+    assert sorted(tuple(r) for r in R.group_by(student, ["major_id"], []).collect()) == [(10,), (20,), (30,)]
 
 
 def test_empty_inputs(student, dept):
@@ -60,10 +73,13 @@ def test_empty_inputs(student, dept):
 
 
 def test_materialize_and_index_select(student):
-    kept = R.materialize(student)
-    assert kept.storageLevel.useDisk and not kept.storageLevel.useMemory and kept.count() == 9
-    kept.unpersist()
+    twice = student.select("sid", "sname", F.col("sid") + F.lit(1), F.rand().alias("x"), F.col("sid"))
+    kept = R.materialize(twice)
+    assert kept.columns == twice.columns and sorted(map(tuple, kept.collect())) == sorted(map(tuple, kept.collect())) and "parquet" in plan_of(kept).lower()
     assert sorted(r.sname for r in R.index_select(student, "grad_year", 2020).collect()) == ["amy", "bob", "kim"]
+    table = TableNode("student", student, Schema.of(student.schema), 9, Config())
+    below = SelectNode(table, Predicate((Term(Field("grad_year"), Const(2020)),)))
+    assert "parquet" in plan_of(MaterializeNode(below).frame()).lower() and MaterializeNode(table).frame() is student
 
 
 def test_filters_and_columns_reach_the_scan(spark, sf):

@@ -11,7 +11,7 @@ def test_repl(spark, tmp_path):
     say = lambda *lines: [run(c, line, out.append) for line in lines]
     assert all(say(":h", ":t student", ":t", ":v einstein", ":v", ":e SELECT sid FROM student;", ":e", ":e DELETE FROM t;", ":x", "", "SELECT sname, sex, birth FROM student WHERE sid = 1;", "DELETE FROM enroll;", "SELECT x FROM student;"))
     text = "\n".join(out)
-    for part in (":e :explain SELECT", "sname                VARCHAR(10)", "student_major_id", "einstein: SELECT sect_id", "PROJECT SCAN", "which table?", "which view?", "only queries have plans", "no command :x", "joe", "true", "2002-06-22", "Rows 1 (", "Affected 6 (", "UnknownColumnError: x"):
+    for part in (":e :explain SELECT", "sname                VARCHAR(10)", "idx_major_id", "einstein: SELECT sect_id", "PROJECT SCAN", "which table?", "which view?", "only queries have plans", "no command :x", "joe", "true", "2002-06-22", "Rows 1 (", "Affected 6 (", "UnknownColumnError: x"):
         assert part in text
     assert say(":q") == [False] and out[-1] == "closed"
 

@@ -1,3 +1,4 @@
+import json
 import random
 
 import pytest
@@ -159,7 +160,94 @@ def test_inserts_settle_into_files(fresh, monkeypatch):
     fresh.update("CREATE TABLE t (a INTEGER, d DATE);")
     for i in range(10):
         fresh.update(f"INSERT INTO t (a) VALUES ({i});")
-    assert len(fresh.store.latest().table("t")["files"]) == 2 and len(rows(fresh, "SELECT a, d FROM t;")) == 10
+    assert [p["rows"] for p in fresh.store.latest().table("t")["parts"]] == [4, 4] and len(rows(fresh, "SELECT a, d FROM t;")) == 10
+
+
+def test_an_insert_writes_its_own_row_only(spark, fresh, tmp_path, monkeypatch):
+    monkeypatch.setattr(cat, "FULL_EVERY", 8)
+    fresh.update("CREATE TABLE t (a INTEGER);")
+    for i in range(20):
+        fresh.update(f"INSERT INTO t (a) VALUES ({i});")
+    steps = [json.loads((tmp_path / f"db/catalog/{n:020d}.json").read_text()) for n in range(1, 22)]
+    assert [n for n, step in enumerate(steps, 1) if "state" in step] == [1, 8, 16]
+    assert steps[1] == {"insert": "t", "rows": [[0]]}
+    for c in (fresh, Engine(spark).connect(fresh.store.root)):  # one that has seen them and one that starts from a whole state
+        assert rows(c, "SELECT a FROM t;") == [(i,) for i in range(20)]
+
+
+def by_region(spark, path):
+    """A table in a folder for each region, one of whose names needs escaping."""
+    data = [(i, f"n{i % 7}", ("eu", "us/west", "asia")[i % 3]) for i in range(90)]
+    spark.createDataFrame(data, "id int, name string, region string").repartition(4).write.partitionBy("region").parquet(path)
+    return data
+
+
+def test_partitioned_table(spark, fresh, tmp_path):
+    data = by_region(spark, f"file://{tmp_path}/regions")
+    fresh.register_parquet("t", f"{tmp_path}/regions")
+    read = "SELECT id, name, region FROM t;"
+    assert rows(fresh, read) == sorted(data)
+    assert rows(fresh, "SELECT id FROM t WHERE region = 'us/west';") == sorted((i,) for i, _, r in data if r == "us/west")
+    assert fresh.update("UPDATE t SET name = 'x' WHERE region = 'us/west';") == 30
+    assert fresh.update("DELETE FROM t WHERE id = 4;") == 1 and fresh.update("DELETE FROM t WHERE region = 'asia';") == 30
+    assert fresh.update("UPDATE t SET region = 'eu' WHERE id = 7;") == 1
+    want = sorted((i, "x" if r == "us/west" else n, "eu" if i == 7 else r) for i, n, r in data if r != "asia" and i != 4)
+    assert rows(fresh, read) == want and fresh.store.count(fresh.store.latest(), "t") == len(want)
+    assert sorted(map(tuple, spark.read.parquet(f"{tmp_path}/regions").collect())) == sorted(data)  # the files are as they were
+    fresh.store.vacuum(-1)
+    assert rows(fresh, read) == want and rows(Engine(spark).connect(fresh.store.root, "basic"), read) == want
+
+
+def test_changes_of_more_files_than_are_listed(spark, fresh, tmp_path, monkeypatch):
+    data = by_region(spark, f"file://{tmp_path}/regions")
+    monkeypatch.setattr(cat, "MOST_FILES", 2)
+    fresh.register_parquet("t", f"{tmp_path}/regions")
+    assert fresh.update("UPDATE t SET name = 'n0' WHERE name = 'n1';") == sum(n == "n1" for _, n, _ in data)
+    assert fresh.update("DELETE FROM t WHERE name = 'n0';") == sum(n in ("n0", "n1") for _, n, _ in data)
+    want = sorted(r for r in data if r[1] not in ("n0", "n1"))
+    assert rows(fresh, "SELECT id, name, region FROM t;") == want
+    table = fresh.store.latest().table("t")
+    assert [(p["rows"], p["registered"]) for p in table["parts"]] == [(len(want), False)]
+
+
+def test_lock_of_a_dead_writer(spark, fresh, monkeypatch):
+    fresh.update("CREATE TABLE t (a INTEGER);")
+    fresh.store.files.lock("lock", 1.0, lease=0.1)  # and never unlocked
+    monkeypatch.setattr(cat, "LOCK_SECONDS", 5.0)
+    assert fresh.update("INSERT INTO t (a) VALUES (1);") == 1 and rows(fresh, "SELECT a FROM t;") == [(1,)]
+
+
+def test_a_late_writer_takes_nothing_away(fresh):
+    """A writer whose lease has ended neither removes the next one's lock nor replaces its state."""
+    fresh.update("CREATE TABLE t (a INTEGER);")
+    store = fresh.store
+    late = store.files.lock("lock", 1.0, lease=0.0)
+    owner = store.files.lock("lock", 1.0)
+    store.files.unlock("lock", late)
+    with pytest.raises(errors.LockTimeoutError):
+        store.files.lock("lock", 0.1)
+    store.files.unlock("lock", owner)
+    with pytest.raises(errors.ConflictError):
+        store._publish(store.latest().version, {"state": {}})
+
+
+def test_a_change_meanwhile_starts_the_other_again(spark, fresh, monkeypatch):
+    fresh.update("CREATE TABLE t (a INTEGER, b INTEGER);")
+    fresh.load("t", spark.range(10).selectExpr("cast(id as int) as a", "0 as b"))
+    other, real, seen = Engine(spark).connect(fresh.store.root), fresh.store._rewritten, []
+
+    def slow(*args):
+        found = real(*args)
+        if not seen:
+            seen.append(other.update("UPDATE t SET b = 5 WHERE a = 3;"))
+        return found
+
+    monkeypatch.setattr(fresh.store, "_rewritten", slow)
+    assert fresh.update("DELETE FROM t WHERE a = 4;") == 1 and seen == [1]
+    assert rows(fresh, "SELECT a, b FROM t;") == [(i, 5 if i == 3 else 0) for i in range(10) if i != 4]
+    monkeypatch.setattr(cat, "TRIES", 0)
+    with pytest.raises(errors.ConflictError):
+        fresh.update("DELETE FROM t WHERE a = 5;")
 
 
 def test_load_and_register(fresh, spark, sf):
@@ -190,7 +278,7 @@ def test_result_set(db):
 
 
 def test_introspection(db):
-    assert db.index_info("student") == {"grad_year": "student_grad_year", "major_id": "student_major_id", "sex": "student_sex"}
+    assert db.index_info("student") == {"grad_year": "idx_grad_year", "major_id": "idx_major_id", "sex": "idx_sex"}
     assert db.view_definition("einstein") == ("einstein", "SELECT sect_id FROM section WHERE prof = 'einstein';")
     assert db.table_schema("student").slot_size == 33 and db.table_schema("dept").slot_size == 22
     assert rows(db, "SELECT tblname, slotsize FROM tblcat WHERE tblname = 'student';") == [("student", 33)]
@@ -209,7 +297,7 @@ def test_explain(spark, tmp_path):
         lines = explain.text(plan).split("\n")
         assert lines[0].split() == ["#", "Operation", "Name", "Reads", "Writes"] and lines[1] == "-" * 102 and lines[2].startswith(" 1 PROJECT SCAN")
     index = c.create_statement("SELECT sname FROM student WHERE grad_year = 2020;").explain_plan()
-    assert explain.rows(index)[2][2:4] == ("INDEX SELECT SCAN BY grad_year = 2020", "student_grad_year")
+    assert explain.rows(index)[2][2:4] == ("INDEX SELECT SCAN BY grad_year = 2020", "idx_grad_year")
 
 
 def test_closed_connection(spark, tmp_path):

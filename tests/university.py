@@ -1,4 +1,5 @@
-"""The book's database as statements."""
+"""The textbook's example database as statements. Its tables, rows, indexes and views, for the results that
+are known for it."""
 
 TABLES = [
     "CREATE TABLE student (sid INTEGER, sname VARCHAR(10), grad_year SMALLINT, major_id INTEGER, birth DATE, sex BOOL);",
@@ -19,7 +20,7 @@ ROWS = {
     "enroll": [(14, 1, 13, "A"), (24, 1, 43, "C"), (34, 2, 43, "B+"), (44, 4, 33, "B"), (54, 4, 53, "A"), (64, 6, 53, "A")],
     "sex": [("male", True), ("female", False)],
 }
-INDEXES = ["CREATE INDEX student_grad_year ON student (grad_year);", "CREATE INDEX student_major_id ON student (major_id);", "CREATE INDEX student_sex ON student (sex);"]
+INDEXES = ["CREATE INDEX idx_grad_year ON student (grad_year);", "CREATE INDEX idx_major_id ON student (major_id);", "CREATE INDEX idx_sex ON student (sex);"]
 VIEWS = ["CREATE VIEW einstein AS SELECT sect_id FROM section WHERE prof = 'einstein';", "CREATE VIEW name_dep AS SELECT sname, dname, grad_year, major_id FROM student, dept WHERE major_id = did;"]
 
 
