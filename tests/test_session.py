@@ -1,5 +1,6 @@
 import json
 import random
+import time
 
 import pytest
 import university
@@ -300,6 +301,19 @@ def test_explain(spark, tmp_path):
     assert explain.rows(index)[2][2:4] == ("INDEX SELECT SCAN BY grad_year = 2020", "idx_grad_year")
 
 
+def test_statistics(spark, fresh):
+    fresh.update("CREATE TABLE t (a INTEGER);")
+    fresh.load("t", spark.range(5000).selectExpr("cast(id as int) as a"))
+    assert fresh.query("SELECT a FROM t WHERE a = 7;").collect()
+    found = {}
+    for _ in range(50):  # Spark's own bookkeeping lags a little
+        found = fresh.statistics()
+        if found.read_blocks and found.written_blocks:
+            break
+        time.sleep(0.1)
+    assert found.read_blocks > 0 and found.written_blocks > 5000 * 4 // 400 // 10 and found.available_bytes > 0
+
+
 def test_closed_connection(spark, tmp_path):
     c = Engine(spark).connect(f"file://{tmp_path}/x")
     c.close()
