@@ -2,7 +2,9 @@
 
 Atomic groups are the documents of equal texts (of one 64-bit hash of the text), in the order of that hash. The smallest
 capacity with which a greedy pass cuts the ordered group sizes into at most ``shards`` runs is found by binary search, and
-the runs of that pass are the shards. So no other contiguous cut has a smaller largest shard.
+the runs of that pass are the shards. So no other contiguous cut has a smaller largest shard. If one group alone sets the
+capacity, because it is larger than a fair share, the runs before and after it are cut anew in the same way into the shards
+that are left over, so the others stay near equal.
 
 The driver never holds the groups. It holds sums over ranges of the hash, 2**16 at first; the binary search over them
 bounds the capacity and shows through which ranges each cut can run; only those are split, by 8 more bits, until they hold
@@ -105,7 +107,7 @@ def cuts(groups: DataFrame, shards: int = SHARDS) -> tuple[list[int], int]:
         capacity, ends = smallest_capacity(sizes, shards)
         todo = [i for i in sorted(open_ranges(sizes, largest, capacity, shards)) if units[i][2] > 1 and splits[units[i][0]] < 64]
         if not todo:
-            return [units[e][0] for e in ends[:-1]], capacity
+            return balanced(groups, units, sizes, ends, shards) if capacity == largest else [units[e][0] for e in ends[:-1]], capacity
         level = min(splits[units[i][0]] for i in todo)
         todo = [i for i in todo if splits[units[i][0]] == level]
         starts = groups.sparkSession.createDataFrame([(units[i][0] >> (64 - level),) for i in todo], "prefix long")
@@ -118,6 +120,21 @@ def cuts(groups: DataFrame, shards: int = SHARDS) -> tuple[list[int], int]:
         units = sorted([u for u in units if u[0] not in gone] + finer)
 
 
+def balanced(groups: DataFrame, units: list[tuple[int, int, int, int]], sizes: list[int], ends: list[int], shards: int) -> list[int]:
+    """First keys where one group alone sets the capacity: it has a shard for itself, and the shards that are left over go
+    to what is before and after it, by bytes, each of which is cut anew."""
+    hot = sizes.index(max(sizes))
+    run = bisect.bisect_right(ends, hot)
+    sides, many = [sum(sizes[:hot]), sum(sizes[hot + 1 :])], [run, len(ends) - run - 1]
+    for _ in range(shards - len(ends)):
+        side = max((0, 1), key=lambda i: sides[i] / many[i] if many[i] else 0)
+        many[side] += many[side] > 0
+    found = cuts(groups.where(F.col("key") < units[hot][0]), many[0])[0] + [units[hot][0]] if hot else []
+    if hot + 1 < len(units):
+        found += [units[hot + 1][0]] + cuts(groups.where(F.col("key") >= units[hot + 1][0]), many[1])[0]
+    return found
+
+
 def assign_sized(rows: DataFrame, shards: int = SHARDS) -> DataFrame:
     """rows with doc_id, size and group, a table that has been written, as it is read more than once; all columns pass
     through. Adds shard and slot."""
@@ -155,7 +172,8 @@ def assign(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
 
 
 def brute_force(sizes: list[int], shards: int) -> list[int]:
-    """Shard of each group, by the smallest capacity found by counting up; for tests."""
+    """Shard of each group, by the smallest capacity found by counting up, and again beside a group that alone sets it; for
+    tests."""
     for capacity in range(max(sizes), sum(sizes) + 1):
         ends, total = [0], 0
         for s in sizes:
@@ -164,6 +182,18 @@ def brute_force(sizes: list[int], shards: int) -> list[int]:
                 total = 0
             ends[-1] += 1
             total += s
-        if len(ends) <= shards:
+        if len(ends) > shards:
+            continue
+        if capacity > max(sizes):
             return [bisect.bisect_right(ends, i) for i in range(len(sizes))]
+        at = sizes.index(capacity)
+        before, after = sizes[:at], sizes[at + 1 :]
+        own = [bisect.bisect_right(ends, at), len(ends) - bisect.bisect_right(ends, at) - 1]
+        for _ in range(shards - len(ends)):
+            larger = sum(after) * own[0] > sum(before) * own[1] if all(own) else not own[0]
+            own[larger] += own[larger] > 0
+        left = brute_force(before, own[0]) if before else []
+        right = brute_force(after, own[1]) if after else []
+        first = max(left, default=-1) + 1
+        return [*left, first, *(first + 1 + x for x in right)]
     raise AssertionError

@@ -55,6 +55,18 @@ def test_clashing_columns(spark):
     assert sorted((r.group, r._shard) for r in out.collect()) == [(7, 99), (8, 98)] and all(r.shard < 24 for r in out.collect())
 
 
+def test_beside_a_hot_group_shards_stay_even(spark, table):
+    """A third of all bytes in one text: one shard for it, and none of the others empty or much above the mean."""
+    rows = [(i, f"text {i} " + "x" * (i % 40)) for i in range(900)] + [(i, "hot " * 8) for i in range(1000, 1450)]
+    checked(table(rows), rows, 24)
+    sizes = Counter()
+    for r in sharding.assign(table(rows)).collect():
+        sizes[r.shard] += r["size"]
+    hot = 450 * 40
+    rest = sorted(n for n in sizes.values() if n != hot)
+    assert len(sizes) == 24 and max(sizes.values()) == hot and rest[-1] < 1.3 * sum(rest) / 23 and rest[0] > 0.5 * sum(rest) / 23
+
+
 def test_one_hot_row(spark, table, monkeypatch):
     monkeypatch.setattr(sharding, "BUCKET_ROWS", 20)
     rows = [(1, "same")] * 300 + [(i, f"t{i}") for i in range(100)]
