@@ -400,6 +400,45 @@ def explain_plan(spark, d):
     return spark.createDataFrame(explain.rows(plan), "number int, depth int, operation string, name string, reads long, writes long")
 
 
+def _plan(connection: Connection, sql: str) -> DataFrame:
+    rows = explain.rows(connection.create_statement(sql).explain_plan())
+    return connection.store.spark.createDataFrame(rows, "number int, depth int, operation string, name string, reads long, writes long")
+
+
+# The estimates as they are defined: V = 1 + R / 3 values of a column, R / V rows of an index, and its search cost.
+_ESTIMATES = """
+WITH o AS (SELECT count(*) AS r, 1 + count(*) // 3 AS v FROM orders), c AS (SELECT count(*) AS r, 1 + count(*) // 3 AS v FROM customer),
+t AS (SELECT o.r AS r, o.v AS v, o.r // o.v AS hits, 1 + trunc(ln(greatest(1, o.r // 20)) / ln(20))::BIGINT AS search, c.r AS cr, c.v AS cv FROM o, c),
+"""
+
+
+@query(
+    _ESTIMATES + f"""
+p AS (SELECT 1 AS number, 0 AS depth, 'PROJECT SCAN' AS operation, '' AS name, search + hits AS reads, hits // greatest(1, v) AS writes FROM t
+  UNION ALL SELECT 2, 1, 'SELECT SCAN', '', search + hits, hits FROM t
+  UNION ALL SELECT 3, 2, 'INDEX SELECT SCAN BY o_custkey = 7', 'by_customer', search + hits, hits FROM t
+  UNION ALL SELECT 4, 3, 'TABLE SCAN', 'orders', NULL, r FROM t)
+SELECT {_EXPLAINED.replace("reads::BIGINT AS reads", "CASE WHEN number < 4 THEN reads END::BIGINT AS reads").replace("writes::BIGINT", "CASE WHEN number > 2 THEN writes END::BIGINT")} FROM p"""
+)
+def explain_index_select(spark, d):
+    """Cost of an index and the rows it leaves. What the selection above it leaves isn't shown."""
+    c = database(spark, d, "orders", "customer")
+    c.update("CREATE INDEX by_customer ON orders (o_custkey);")
+    shown = _plan(c, "SELECT o_orderkey FROM orders WHERE o_custkey = 7;")
+    return shown.withColumn("reads", F.when(F.col("number") < 4, F.col("reads"))).withColumn("writes", F.when(F.col("number") > 2, F.col("writes")))
+
+
+@query(
+    "SELECT 1::BIGINT AS conditions, (SELECT count(*) FROM orders)::BIGINT // (1 + (SELECT count(*) FROM orders) // 3) AS records UNION ALL "
+    "SELECT 2, (SELECT count(*) FROM orders)::BIGINT // ((1 + (SELECT count(*) FROM orders) // 3) ** 2)::BIGINT"
+)
+def explain_selectivity(spark, d):
+    """How many rows one and two conditions are estimated to leave."""
+    c = database(spark, d, "orders")
+    left = [c.create_statement(f"SELECT o_orderkey FROM orders WHERE {where};").explain_plan().records for where in ("o_custkey = 7", "o_custkey = 7 AND o_orderstatus = 'F'")]
+    return spark.createDataFrame(list(enumerate(left, 1)), "conditions long, records long")
+
+
 def queries() -> dict[str, Query]:
     return dict(_queries)
 
