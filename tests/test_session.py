@@ -164,6 +164,20 @@ def test_inserts_settle_into_files(fresh, monkeypatch):
     assert [p["rows"] for p in fresh.store.latest().table("t")["parts"]] == [4, 4] and len(rows(fresh, "SELECT a, d FROM t;")) == 10
 
 
+def test_small_tables_stand_in_the_state(spark, fresh):
+    fresh.update("CREATE TABLE t (a INTEGER, d DATE, s VARCHAR(9), b BOOL);")
+    fresh.load("t", spark.range(50).selectExpr("id as a", "date'2001-02-03' as d", "concat('s', id) as s", "id % 2 = 0 as b"))
+    fresh.update("INSERT INTO t (a) VALUES (50);")
+    table = fresh.store.latest().table("t")
+    assert table["parts"] == [] and len(table["tail"]) == 51 and table["tail"][3] == [3, "2001-02-03", "s3", False] and table["tail"][50] == [50, "0000-01-01", "", False]
+    assert fresh.update("UPDATE t SET d = '1999-12-31' WHERE b = true;") == 25 and fresh.update("DELETE FROM t WHERE a = 7;") == 1
+    assert fresh.store.latest().table("t")["parts"] == [] and rows(fresh, "SELECT a FROM t WHERE d = '1999-12-31';") == [(i,) for i in range(0, 50, 2)]
+    fresh.load("t", spark.range(2000).selectExpr("100 + id as a", "date'2001-02-03' as d", "'x' as s", "true as b"))
+    assert fresh.update("UPDATE t SET s = 'y' WHERE b = true;") == 2025
+    assert [p["rows"] for p in fresh.store.latest().table("t")["parts"]] == [2050] or sum(p["rows"] or 0 for p in fresh.store.latest().table("t")["parts"]) == 2050
+    assert fresh.query("SELECT a FROM t WHERE s = 'y';").count() == 2025 and fresh.store.count(fresh.store.latest(), "t") == 2050
+
+
 def test_an_insert_writes_its_own_row_only(spark, fresh, tmp_path, monkeypatch):
     monkeypatch.setattr(cat, "FULL_EVERY", 8)
     fresh.update("CREATE TABLE t (a INTEGER);")
@@ -234,7 +248,7 @@ def test_a_late_writer_takes_nothing_away(fresh):
 
 def test_a_change_meanwhile_starts_the_other_again(spark, fresh, monkeypatch):
     fresh.update("CREATE TABLE t (a INTEGER, b INTEGER);")
-    fresh.load("t", spark.range(10).selectExpr("cast(id as int) as a", "0 as b"))
+    fresh.load("t", spark.range(2000).selectExpr("cast(id as int) as a", "0 as b"))
     other, real, seen = Engine(spark).connect(fresh.store.root), fresh.store._rewritten, []
 
     def slow(*args):
@@ -245,7 +259,7 @@ def test_a_change_meanwhile_starts_the_other_again(spark, fresh, monkeypatch):
 
     monkeypatch.setattr(fresh.store, "_rewritten", slow)
     assert fresh.update("DELETE FROM t WHERE a = 4;") == 1 and seen == [1]
-    assert rows(fresh, "SELECT a, b FROM t;") == [(i, 5 if i == 3 else 0) for i in range(10) if i != 4]
+    assert rows(fresh, "SELECT a, b FROM t;") == [(i, 5 if i == 3 else 0) for i in range(2000) if i != 4]
     monkeypatch.setattr(cat, "TRIES", 0)
     with pytest.raises(errors.ConflictError):
         fresh.update("DELETE FROM t WHERE a = 5;")
