@@ -77,8 +77,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
     cut = F.coalesce(F.shiftright(F.shiftright(F.col("__hash"), 30) * F.col("__cut"), 30), F.lit(0)).alias("__range")
     rows = rows.join(F.broadcast(large), ["__key", "__class"], "left").withColumn("__range", cut).drop("__cut")
     where = ["__key", "__class", "__range", "__part", "__sub"]
-    rows = parted(rows, most)
-    ends = rows.groupBy(*where).agg(F.count("*").alias("__many"))
+    rows, ends = parted(rows, most)
     along = Window.partitionBy("__key").orderBy(*where[1:]).rowsBetween(Window.unboundedPreceding, -1)
     ends = ends.withColumn("__before", F.coalesce(F.sum("__many").over(along), F.lit(0))).drop("__many")
     targets = source_targets(groups.groupBy("__key").agg(F.first("source").alias("source"), F.sum("__words").alias("source_size")), weights, share, repeats)
@@ -93,20 +92,24 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
     return placed.select(*docs.columns, "source_size", "target", "copies")
 
 
-def parted(rows: DataFrame, most: int) -> DataFrame:
+def parted(rows: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
     """Adds __part and __sub, which cut a range further where more than ``most`` rows have one doc_id and size and so one
-    hash: those are alike, so any of them can have any of their ranks, and they are dealt out by row. The hashes are fewer
-    than ``RANGES``, for so many rows would be more than there are."""
-    same = ["__key", "__class", "__range", "__hash"]
-    many = written(rows.groupBy(*same).agg(F.count("*").alias("__many")).where(F.col("__many") > most), "alike")
-    top = many.agg(F.max("__many")).first()[0]
-    if top is None:
-        return rows.withColumns({"__part": F.lit(0), "__sub": F.lit(0)})
-    hot = many.groupBy(*same[:3]).agg(F.collect_list("__hash").alias("__hot"))
+    hash: those are alike, so any of them can have any of their ranks, and they are dealt out by row. Returns the rows, and
+    how many there are in each piece. Such hashes are fewer than ``RANGES``, for so many rows would be more than there are."""
+    same = ["__key", "__class", "__range"]
+    ranges = written(rows.groupBy(*same).agg(F.count("*").alias("__many")), "ranges")
+    whole = {"__part": F.lit(0), "__sub": F.lit(0)}
+    full = ranges.where(F.col("__many") > 4 * most)  # a range without such a hash is never so full
+    if full.isEmpty():
+        return rows.withColumns(whole), ranges.withColumns(whole)
+    many = written(rows.join(F.broadcast(full.drop("__many")), same, "left_semi").groupBy(*same, "__hash").agg(F.count("*").alias("__many")).where(F.col("__many") > most), "alike")
+    hot = many.groupBy(*same).agg(F.collect_list("__hash").alias("__hot"))
     below = F.size(F.filter(F.coalesce("__hot", F.array().cast("array<bigint>")), lambda h: h < F.col("__hash")))
     own = F.coalesce(F.array_contains("__hot", F.col("__hash")), F.lit(False))
-    parts = {"__part": 2 * below + own.cast("int"), "__sub": F.when(own, F.pmod("__row", F.lit(-(-top // most)))).otherwise(F.lit(0))}
-    return rows.join(F.broadcast(hot), same[:3], "left").withColumns(parts).drop("__hot")
+    pieces = -(-(many.agg(F.max("__many")).first()[0] or 1) // most)
+    parts = {"__part": 2 * below + own.cast("int"), "__sub": F.when(own, F.pmod("__row", F.lit(pieces))).otherwise(F.lit(0))}
+    cut = rows.join(F.broadcast(hot), same, "left").withColumns(parts).drop("__hot")
+    return cut, cut.groupBy(*same, "__part", "__sub").agg(F.count("*").alias("__many"))
 
 
 def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, repeats: float = REPEATS) -> DataFrame:

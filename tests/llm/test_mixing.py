@@ -73,8 +73,9 @@ def test_many_rows_without_doc_id(spark, monkeypatch):
     assert sorted(result(spark, rows), key=key) == sorted(slow_mix(rows), key=key)
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("size", mixing.word_count())
     keyed = docs.selectExpr("source as __key", "1 as __class", "0 as __range", "xxhash64(doc_id, size) as __hash", "monotonically_increasing_id() as __row")
-    parts = [r["count"] for r in mixing.parted(keyed, 20).groupBy("__key", "__part", "__sub").count().collect()]
-    assert sum(parts) == len(rows) and max(parts) <= 120  # 100 ids of one size stay together
+    cut, ends = mixing.parted(keyed, 20)
+    parts = [r["count"] for r in cut.groupBy("__key", "__part", "__sub").count().collect()]
+    assert sorted(parts) == sorted(r["__many"] for r in ends.collect()) and sum(parts) == len(rows) and max(parts) <= 120  # 100 ids of one size stay together
 
 
 def test_targets_and_empty_tables(spark):
