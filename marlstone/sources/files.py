@@ -54,6 +54,13 @@ class Files:
             os.fsync(f.fileno())
         try:
             os.link(beside, path)
+        except FileExistsError:
+            raise
+        except OSError:  # a disk without links
+            if os.path.exists(path):
+                raise FileExistsError(path) from None
+            shutil.copyfile(beside, f"{beside}.2")
+            os.replace(f"{beside}.2", path)
         finally:
             os.remove(beside)
 
