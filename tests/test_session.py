@@ -213,6 +213,14 @@ def test_partitioned_table(spark, fresh, tmp_path):
     assert rows(fresh, read) == want and rows(Engine(spark).connect(fresh.store.root, "basic"), read) == want
 
 
+def test_register_a_pattern(spark, fresh, tmp_path):
+    for i in range(3):
+        spark.range(10 * i, 10 * i + 10).selectExpr("cast(id as int) as a").coalesce(1).write.parquet(f"file://{tmp_path}/part {i}")
+    fresh.register_parquet("t", f"{tmp_path}/part *")
+    assert fresh.update("DELETE FROM t WHERE a = 12;") == 1 and rows(fresh, "SELECT a FROM t;") == [(i,) for i in range(30) if i != 12]
+    assert len(fresh.store.latest().table("t")["parts"]) == 4 and fresh.store.count(fresh.store.latest(), "t") == 29
+
+
 def test_changes_of_more_files_than_are_listed(spark, fresh, tmp_path, monkeypatch):
     data = by_region(spark, f"file://{tmp_path}/regions")
     monkeypatch.setattr(cat, "MOST_FILES", 2)
