@@ -10,9 +10,9 @@ gets its verdict. The buckets are few for the words there are: a bucket holds ma
 weigh little in the raw counts.
 
 The raw multinomial counts every n-gram of every document. The trusted one is fitted on a bounded sample of labelled
-documents, at most ``TRUSTED`` (the smallest hashes of doc_id). Counts are combined before their shuffle: a row per bucket
-and task. The logarithms, ``BUCKETS`` whole numbers, are an array in the plan, in which each document's n-grams are looked up
-where it is read, without a shuffle.
+documents, at most ``TRUSTED`` (the smallest hashes of doc_id). The logarithms, ``BUCKETS`` whole numbers, are an array in
+the plan, in which n-grams are looked up by generated code. The exploded n-grams of a document lie together, so both counts
+and scores are combined before their shuffle: a row per bucket and task, and a row per document.
 
 A null text has no words and fails the base rule. Repeated rows are counted and judged one by one. With no trusted
 document the ratio is zero everywhere and only the base rule drops documents. An empty table gives no rows.
@@ -39,13 +39,14 @@ def bound(value: Column, use) -> Column:
     return F.element_at(F.transform(F.array(value), lambda x: use(x)), 1)  # a lambda of one argument, whatever use takes
 
 
-def windows(hashes: Column, width: int = WINDOW) -> Column:
-    """A hash of each window of ``width`` words, a power of two, from those of its halves; none for a shorter text."""
+def doubled(a: Column, step: int) -> Column:
+    """A hash of each pair of elements that are step apart."""
+    n = F.greatest(F.size(a) - step, F.lit(0))
+    return F.zip_with(F.slice(a, 1, n), F.slice(a, step + 1, n), lambda x, y: F.xxhash64(x, y))
 
-    def doubled(a: Column, step: int) -> Column:
-        n = F.greatest(F.size(a) - step, F.lit(0))
-        return F.zip_with(F.slice(a, 1, n), F.slice(a, step + 1, n), lambda x, y: F.xxhash64(x, y))
 
+def windows(hashes: Column, width: int = WINDOW) -> Column:
+    """A hash of each window of ``width`` words, a power of two, from those of its halves; none for a shorter text."""
     step = 1
     while step < width:
         hashes = bound(hashes, lambda a, step=step: doubled(a, step))
@@ -55,7 +56,7 @@ def windows(hashes: Column, width: int = WINDOW) -> Column:
 
 def repeated_words(hashes: Column, width: int = WINDOW) -> Column:
     """How many words lie in windows that occur twice or more. Windows are sorted by hash, those next to an equal one
-    are taken, and their places, in order, cover the words."""
+    are taken, and their places, in order, cover the words. A text without a half window that repeats has none."""
 
     def covered(seen: Column) -> Column:
         placed = F.sort_array(F.transform(seen, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
@@ -64,7 +65,10 @@ def repeated_words(hashes: Column, width: int = WINDOW) -> Column:
         step = lambda a, x: F.struct((a["n"] + x + width - F.greatest(a["end"], x)).alias("n"), (x + width).alias("end"))
         return F.aggregate(starts, F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("end")), step, lambda a: a["n"])
 
-    return bound(windows(hashes, width), lambda seen: F.when(F.size(F.array_distinct(seen)) < F.size(seen), covered(seen)).otherwise(F.lit(0).cast("long")))
+    repeats = lambda seen: F.size(F.array_distinct(seen)) < F.size(seen)
+    none = F.lit(0).cast("long")
+    whole = lambda half: bound(doubled(half, width // 2), lambda seen: F.when(repeats(seen), covered(seen)).otherwise(none))
+    return bound(windows(hashes, width // 2), lambda half: F.when(repeats(half), whole(half)).otherwise(none))
 
 
 def slot(gram: Column, many: int) -> Column:
@@ -134,22 +138,22 @@ def judge(docs: DataFrame, labels: DataFrame, z: float = Z, buckets: int = BUCKE
     mean, square = float(total or 0) / float(trusted or 1) / UNIT, float(square or 0) / float(trusted or 1) / (UNIT * UNIT)
     spread = max(0.0, square - mean * mean) ** 0.5
     known = {r["bucket"]: r["llr"] for r in model.select("bucket", "llr").collect()}  # at most as many as there are buckets
-    logs, half = F.split(F.lit(",".join(str(known.get(i, 0)) for i in range(buckets))), ",").cast("array<int>"), buckets // 2
-    added = lambda a, x: a + x
-    nothing, n = F.lit(0).cast("long"), F.greatest(F.size("words") - 1, F.lit(0))
-    one = F.aggregate(F.transform("words", lambda w: F.get(logs, slot(w, half))), nothing, added)
-    two = F.aggregate(F.zip_with(F.slice("words", F.lit(1), n), F.slice("words", F.lit(2), n), lambda a, b: F.get(logs, slot(pair(a, b), half) + half)), nothing, added)
-    scored = base_rules(docs).withColumn("total", one + two).drop("words").withColumn("n", F.greatest(2 * F.col("n_words") - 1, F.lit(0)))
-    score = F.when(F.col("n") > 0, F.col("total") / F.col("n") / F.lit(float(UNIT))).otherwise(F.lit(0.0))
-    threshold = F.lit(mean) - F.lit(z * spread) / F.sqrt(F.greatest(F.col("n"), F.lit(1)))
-    judged = scored.withColumn("score", score).withColumn("threshold", threshold).drop("total", "n")
+    logs = F.split(F.lit(",".join(str(known.get(i, 0)) for i in range(buckets))), ",").cast("array<int>")
+    based = base_rules(docs).withColumn("row", F.monotonically_increasing_id())
+    kept = [c for c in based.columns if c != "words"]
+    scored = grams(based, kept, buckets).select(*kept, F.get(logs, F.col("bucket")).alias("llr")).groupBy(*kept).agg(F.coalesce(F.sum("llr"), F.lit(0)).alias("total"))
+    n = F.greatest(2 * F.col("n_words") - 1, F.lit(0))
+    score = F.when(n > 0, F.col("total") / n / F.lit(float(UNIT))).otherwise(F.lit(0.0))
+    threshold = F.lit(mean) - F.lit(z * spread) / F.sqrt(F.greatest(n, F.lit(1)))
+    judged = scored.withColumn("score", score).withColumn("threshold", threshold).drop("total", "row")
     return judged.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= F.col("threshold")))
 
 
 #: The same in DuckDB, for tables documents and labels; it has no CRC-32 of its own.
 SQL = rf"""
 WITH docs AS (
-  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^ 	-]+') AS words FROM documents),
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+') AS words FROM documents),
 trusted AS (
   SELECT * FROM (SELECT DISTINCT doc_id FROM labels WHERE quality = 1 AND doc_id IS NOT NULL) ORDER BY md5(doc_id::VARCHAR), doc_id LIMIT {TRUSTED}),
 places AS (
@@ -179,7 +183,8 @@ repeated AS (
     SELECT r, unnest(range(i, i + {WINDOW})) AS i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, run) AS many FROM places WHERE len(run) = {WINDOW}) WHERE many > 1)
   GROUP BY r),
 lined AS (
-  SELECT r, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^ 	-]')) AS lines FROM docs),
+  SELECT r, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^ 	-
+]')) AS lines FROM docs),
 base AS (
   SELECT r, doc_id, len(words)::BIGINT AS n_words, length(array_to_string(words, ''))::BIGINT AS word_chars, len(regexp_extract_all(text, '{SYMBOLS}'))::BIGINT AS n_symbols,
     (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words
