@@ -45,18 +45,11 @@ def doubled(a: Column, step: int) -> Column:
     return F.zip_with(F.slice(a, 1, n), F.slice(a, step + 1, n), lambda x, y: F.xxhash64(x, y))
 
 
-def windows(hashes: Column, width: int = WINDOW) -> Column:
-    """A hash of each window of ``width`` words, a power of two, from those of its halves; none for a shorter text."""
-    step = 1
-    while step < width:
-        hashes = bound(hashes, lambda a, step=step: doubled(a, step))
-        step *= 2
-    return hashes
-
-
-def repeated_words(hashes: Column, width: int = WINDOW) -> Column:
-    """How many words lie in windows that occur twice or more. Windows are sorted by hash, those next to an equal one
-    are taken, and their places, in order, cover the words. A text without a half window that repeats has none."""
+def repeated_words(docs: DataFrame, width: int = WINDOW) -> DataFrame:
+    """Turns column hashes, of words, into n_repeat_words: how many words lie in windows of ``width``, a power of two, that
+    occur twice or more. The windows' hashes are made of those of their halves, each in a column of its own, which is worked
+    out once. Windows are sorted by hash, those next to an equal one are taken, and their places, in order, cover the words.
+    A text without a half window that repeats has none."""
 
     def covered(seen: Column) -> Column:
         placed = F.sort_array(F.transform(seen, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
@@ -65,10 +58,13 @@ def repeated_words(hashes: Column, width: int = WINDOW) -> Column:
         step = lambda a, x: F.struct((a["n"] + x + width - F.greatest(a["end"], x)).alias("n"), (x + width).alias("end"))
         return F.aggregate(starts, F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("end")), step, lambda a: a["n"])
 
+    none, step = F.array().cast("array<bigint>"), 1
     repeats = lambda seen: F.size(F.array_distinct(seen)) < F.size(seen)
-    none = F.lit(0).cast("long")
-    whole = lambda half: bound(doubled(half, width // 2), lambda seen: F.when(repeats(seen), covered(seen)).otherwise(none))
-    return bound(windows(hashes, width // 2), lambda half: F.when(repeats(half), whole(half)).otherwise(none))
+    while step < width // 2:
+        docs = docs.withColumn("hashes", doubled(F.col("hashes"), step))
+        step *= 2
+    docs = docs.withColumn("hashes", F.when(repeats(F.col("hashes")), doubled(F.col("hashes"), step)).otherwise(none))
+    return docs.withColumn("n_repeat_words", F.when(repeats(F.col("hashes")), covered(F.col("hashes"))).otherwise(F.lit(0).cast("long"))).drop("hashes")
 
 
 def slot(gram: Column, many: int) -> Column:
@@ -104,7 +100,7 @@ def base_rules(docs: DataFrame) -> DataFrame:
         "words",
         F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"),
     )
-    counted = hashed.withColumn("n_repeat_words", bound(F.col("hashes"), repeated_words)).drop("hashes")
+    counted = repeated_words(hashed)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     return counted.withColumn("base_failed", failed)
 
