@@ -197,27 +197,21 @@ def links(fps: DataFrame, radius: int = RADIUS, tree_rows: int = TREE_ROWS) -> D
 
 
 def star_components(edges: DataFrame, name: str = "edges") -> DataFrame:
-    """Connected components by alternating large and small stars: v and root, for every vertex but the roots."""
+    """Connected components by alternating large and small stars: v and root, for every vertex but the roots. It ends when
+    the links are disjoint stars: no vertex has two centres, and no centre has one."""
 
-    def state(df: DataFrame):
-        return df.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % (1 << 30))).first()
-
-    def same(df: DataFrame, other: DataFrame) -> bool:
-        """For two sets of equally many links."""
-        return df.join(other, ["u", "v"], "left_anti").isEmpty()
+    def done(now: DataFrame) -> bool:
+        centres = now.select(F.col("v").alias("u")).distinct()
+        return now.groupBy("u").count().where("count > 1").isEmpty() and now.join(centres, "u", "left_semi").isEmpty()
 
     now = written(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), name)
-    was = state(now)
-    while was[0]:
+    while not done(now):
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         lowest = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(lowest, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        before, now = now, written(small.union(lowest.select("u", F.col("m").alias("v"))).distinct(), name)
-        if (then := state(now)) == was and same(now, before):
-            break
-        was = then
+        now = written(small.union(lowest.select("u", F.col("m").alias("v"))).distinct(), name)
     return now.select(F.col("u").alias("v"), F.col("v").alias("root"))
 
 
