@@ -80,4 +80,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": mixing.SQL, "op4_license_templates": licenses.SQL, "op5_quality_ratio": quality_rules.SQL, "op6_decontaminate": decontaminate.SQL}
+    return {"op1_mix_sources": mixing.SQL, "op3_minimax_shards": sharding.SQL, "op4_license_templates": licenses.SQL, "op5_quality_ratio": quality_rules.SQL, "op6_decontaminate": decontaminate.SQL}

@@ -1,6 +1,6 @@
 """Sharding by a minimax contiguous partition: law ``bytes``, sizes near equal.
 
-Atomic groups are the documents of equal texts (of one 64-bit hash of the text), in the order of that hash. The smallest
+Atomic groups are the documents of equal texts (of one 60-bit hash of the text), in the order of that hash. The smallest
 capacity with which a greedy pass cuts the ordered group sizes into at most ``shards`` runs is found by binary search, and
 the runs of that pass are the shards. So no other contiguous cut has a smaller largest shard. If one group alone sets the
 capacity, because it is larger than a fair share, the runs before and after it are cut anew in the same way into the shards
@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.llm.common import free_name, numbered, written
+from marlstone.llm.mixing import hash60
 
 SHARDS, ROW_BYTES, FIRST_BITS, MORE_BITS = 24, 8, 16, 8
 BUCKET_ROWS, BUCKETS = 16_384, 65_536
@@ -37,8 +38,8 @@ def size_of(column: str = "text") -> Column:
 
 
 def group_of(column: str = "text") -> Column:
-    """The group's key; keys are ordered as signed longs. A text's hash is never the null's."""
-    return F.when(F.col(column).isNull(), F.lit(-TOP)).otherwise(F.xxhash64(column))
+    """The group's key, 60 bits of the text's MD5 in the upper bits; keys are ordered as signed longs. No text has the null's."""
+    return F.when(F.col(column).isNull(), F.lit(1 - TOP)).otherwise(F.shiftleft(hash60(F.col(column)), 4))
 
 
 def greedy(sums: np.ndarray, capacity: int, shards: int) -> list[int] | None:
@@ -123,7 +124,7 @@ def cuts(groups: DataFrame, shards: int = SHARDS) -> tuple[list[int], int]:
 def balanced(groups: DataFrame, units: list[tuple[int, int, int, int]], sizes: list[int], ends: list[int], shards: int) -> list[int]:
     """First keys where one group alone sets the capacity: it has a shard for itself, and the shards that are left over go
     to what is before and after it, by bytes, each of which is cut anew."""
-    hot = sizes.index(max(sizes))
+    hot = next(i for i, u in enumerate(units) if u[1] == max(sizes) and u[2] == 1)
     run = bisect.bisect_right(ends, hot)
     sides, many = [sum(sizes[:hot]), sum(sizes[hot + 1 :])], [run, len(ends) - run - 1]
     for _ in range(shards - len(ends)):
@@ -197,3 +198,61 @@ def brute_force(sizes: list[int], shards: int) -> list[int]:
         first = max(left, default=-1) + 1
         return [*left, first, *(first + 1 + x for x in right)]
     raise AssertionError
+
+
+#: The same in DuckDB, for a table documents of at most ``BUCKET_ROWS`` rows; it has no CRC-32 of its own. Segments of the
+#: ordered groups are cut by the smallest capacity, or split at the group that alone sets it. Places are sums of the sizes
+#: before them.
+SQL = rf"""
+WITH RECURSIVE docs AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, octet_length(encode(coalesce(text, ''))) + {ROW_BYTES} AS size,
+    CASE WHEN text IS NULL THEN 1 - (1::BIGINT << 60) ELSE 2 * (hash - CASE WHEN hash >= 1::BIGINT << 59 THEN 1::BIGINT << 60 ELSE 0 END) END AS key
+  FROM (SELECT doc_id, text, ('0x' || substr(md5(text), 1, 15))::BIGINT AS hash FROM documents)),
+sized AS (SELECT key, sum(size)::BIGINT AS bytes FROM docs GROUP BY key),
+groups AS (SELECT key, bytes, (sum(bytes) OVER (ORDER BY key) - bytes)::BIGINT AS before FROM sized),
+lists AS (
+  SELECT list(before ORDER BY key) AS starts, list(bytes ORDER BY key) AS sizes, list_append(list(before ORDER BY key), sum(bytes)::BIGINT) AS sums, sum(bytes)::BIGINT AS total FROM groups),
+segments AS (
+  SELECT 0::BIGINT AS first, total AS last, {SHARDS}::BIGINT AS k, 0::BIGINT AS start, false AS plain, []::BIGINT[] AS ends FROM lists WHERE total > 0
+  UNION ALL
+  SELECT * FROM (
+    WITH seen AS (
+      SELECT first, last, k, starts, sizes, list_filter(sums, lambda s: s >= first AND s <= last) AS inside,
+        list_max(list_filter(sizes, lambda x, i: starts[i] >= first AND starts[i] < last)) AS largest
+      FROM segments, lists WHERE NOT plain),
+    searched AS (
+      SELECT *,
+        list_reduce(
+          list_prepend(0::BIGINT, list_reverse(range(0, 1 + ceil(log2(greatest(1, last - first)))::BIGINT))),
+          lambda below, bit: CASE WHEN below + (1::BIGINT << bit) < greatest(largest, (last - first + k - 1) // k)
+              OR list_reduce(list_prepend(first, range(1, k + 1)), lambda done, j: list_max(list_filter(inside, lambda s: s <= done + below + (1::BIGINT << bit)))) < last
+            THEN below + (1::BIGINT << bit) ELSE below END) + 1 AS capacity
+      FROM seen),
+    cut AS (
+      SELECT *, list_transform(range(1, k + 1), lambda n: list_reduce(list_prepend(first, range(1, n + 1)), lambda done, j: list_max(list_filter(inside, lambda s: s <= done + capacity)))) AS ends
+      FROM searched),
+    hot AS (
+      SELECT *, list_position(ends, last) AS used, list_min(list_filter(starts, lambda s, i: s >= first AND s < last AND sizes[i] = largest)) AS spot FROM cut),
+    split AS (SELECT *, len(list_filter(ends, lambda e: e <= spot)) AS run FROM hot),
+    shared AS (
+      SELECT *, list_reduce(list_prepend(1000 * run + used - run - 1, range(used, k)), lambda m, j: CASE
+          WHEN CASE WHEN m // 1000 > 0 THEN (spot - first)::DOUBLE / (m // 1000) ELSE 0 END >= CASE WHEN m % 1000 > 0 THEN (last - spot - largest)::DOUBLE / (m % 1000) ELSE 0 END
+          THEN m + CASE WHEN m // 1000 > 0 THEN 1000 ELSE 0 END ELSE m + CASE WHEN m % 1000 > 0 THEN 1 ELSE 0 END END) AS many
+      FROM split)
+    SELECT first, last, k, first AS start, true AS plain, list_prepend(first, ends[1:used - 1]) AS ends FROM shared WHERE capacity > largest
+    UNION ALL SELECT spot, spot + largest, 1, spot, true, [spot] FROM shared WHERE capacity = largest
+    UNION ALL SELECT first, spot, many // 1000, first, false, []::BIGINT[] FROM shared WHERE capacity = largest AND spot > first
+    UNION ALL SELECT spot + largest, last, many % 1000, spot + largest, false, []::BIGINT[] FROM shared WHERE capacity = largest AND spot + largest < last)),
+begins AS (SELECT list(DISTINCT b) AS begins FROM (SELECT unnest(ends) AS b FROM segments WHERE plain)),
+sharded AS (SELECT key, len(list_filter(begins, lambda b: b <= before)) - 1 AS shard FROM groups, begins),
+crc AS (
+  SELECT list(c ORDER BY n) AS crcs FROM (
+    SELECT n, list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda c, x: CASE WHEN c % 2 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) AS c
+    FROM (SELECT unnest(range(256)) AS n))),
+checked AS (
+  SELECT r, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda h: ('0x' || h)::BIGINT)),
+    lambda c, x: xor(c >> 8, crcs[xor(c & 255, x) + 1]))) AS text_crc32 FROM docs, crc)
+SELECT doc_id, size::BIGINT AS size, text_crc32, 'bytes' AS law, shard::INTEGER AS shard,
+  row_number() OVER (PARTITION BY shard ORDER BY key, doc_id NULLS FIRST) - 1 AS slot, NULL::INTEGER AS grown_shard
+FROM docs JOIN checked USING (r) JOIN sharded USING (key)
+"""

@@ -2,6 +2,7 @@ import random
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import pytest
 
 from marlstone.llm import sharding
@@ -67,6 +68,21 @@ def test_beside_a_hot_group_shards_stay_even(spark, table):
     assert len(sizes) == 24 and max(sizes.values()) == hot and rest[-1] < 1.3 * sum(rest) / 23 and rest[0] > 0.5 * sum(rest) / 23
 
 
+@pytest.mark.parametrize("hot", [0, 60, 2000])
+def test_sql_beside_hot_groups(spark, table, tmp_path, hot):
+    rng = random.Random(hot)
+    rows = [(i, "é" * rng.randrange(200) + f" {i % 180}") for i in range(200)] + [(500 + i, "hot text") for i in range(hot)]
+    rows += [(5000 + i, "w " * (50 * i)) for i in range(hot // 10 % 40)] + [(None, None), (7, None), (8, ""), (9, "x" * 9000)]
+    path = f"{tmp_path}/documents.parquet"
+    table(rows).coalesce(1).write.parquet(f"file://{path}")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{path}/*.parquet')")
+    got = op3_minimax_shards(spark, f"file://{tmp_path}")
+    cur = con.execute(sharding.SQL)
+    assert [d[0] for d in cur.description] == got.columns
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(cur.fetchall(), key=repr)
+
+
 def test_one_hot_row(spark, table, monkeypatch):
     monkeypatch.setattr(sharding, "BUCKET_ROWS", 20)
     rows = [(1, "same")] * 300 + [(i, f"t{i}") for i in range(100)]
