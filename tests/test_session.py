@@ -174,7 +174,7 @@ def test_small_tables_stand_in_the_state(spark, fresh):
     assert fresh.store.latest().table("t")["parts"] == [] and rows(fresh, "SELECT a FROM t WHERE d = '1999-12-31';") == [(i,) for i in range(0, 50, 2)]
     fresh.load("t", spark.range(2000).selectExpr("100 + id as a", "date'2001-02-03' as d", "'x' as s", "true as b"))
     assert fresh.update("UPDATE t SET s = 'y' WHERE b = true;") == 2025
-    assert [p["rows"] for p in fresh.store.latest().table("t")["parts"]] == [2050] or sum(p["rows"] or 0 for p in fresh.store.latest().table("t")["parts"]) == 2050
+    assert [p["rows"] for p in fresh.store.latest().table("t")["parts"]][-1] > 2000 and sum(p["rows"] for p in fresh.store.latest().table("t")["parts"]) == 2050
     assert fresh.query("SELECT a FROM t WHERE s = 'y';").count() == 2025 and fresh.store.count(fresh.store.latest(), "t") == 2050
 
 
