@@ -21,7 +21,7 @@ LOWER = bytes.maketrans(UPPER, LOWER_CASE)
 #: above belong to words, so splitting the result gives the words ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]+``.
 ALNUM = bytes(32 if b < 128 and not chr(b).isalnum() else LOWER[b] for b in range(256))
 
-PIECE = 1 << 20
+PIECE, BROADCAST_ROWS = 1 << 20, 500_000
 Rows = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
 #: The tables to delete when the innermost scope of this thread ends.
@@ -114,6 +114,11 @@ def numbered(docs: DataFrame, name: str) -> DataFrame:
     return docs.withColumn(name, F.monotonically_increasing_id())
 
 
+def broadcast_keys(keys: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """A written table of one long column, marked for a broadcast if it has at most so many rows; else joins shuffle."""
+    return F.broadcast(keys) if keys.count() <= most else keys
+
+
 def free_name(df: DataFrame) -> str:
     """A name that no column of df has."""
     return "_" * (1 + max(map(len, df.columns)))

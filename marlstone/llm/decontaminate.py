@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import alnum_pieces, alnum_words, free_name, lean, scratch_tables, text_bytes, written
+from marlstone.llm.common import alnum_pieces, alnum_words, broadcast_keys, free_name, lean, scratch_tables, text_bytes, written
 
 WIDTH, SLOP, BLOCK_WORDS = 10, 2, 500_000
 SEGMENT_WORDS, SEGMENT_BYTES, SEGMENT_DOCS = 1 << 18, 1 << 22, 1 << 12
@@ -259,7 +259,7 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -
     with scratch_tables(docs.sparkSession):
         found = contamination(docs.select(F.xxhash64("text").alias(name), "text"), benchmark, width, key=name)
         hit = written(found.where("n_hit > 0").select(name).distinct(), "hit", keep=True)
-    return docs.withColumn(name, F.xxhash64("text")).join(hit, name, "left_anti").drop(name)
+    return docs.withColumn(name, F.xxhash64("text")).join(broadcast_keys(hit), name, "left_anti").drop(name)
 
 
 def items_digest(column: str = "items"):

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import free_name, lean, scratch_tables, space_words, text_bytes, written
+from marlstone.llm.common import broadcast_keys, free_name, lean, scratch_tables, space_words, text_bytes, written
 from marlstone.llm.ngram_shards import mix
 from marlstone.llm.simhash import TREE_ROWS, celled, changes, majority, runs, star_components, star_links
 
@@ -117,7 +117,7 @@ def links(docs: DataFrame, classes: DataFrame, tree_rows: int = TREE_ROWS, cell_
                 made = [shingles(text.as_py()).view(np.int64) for text in few.column(1)]
                 yield pa.RecordBatch.from_arrays([few.column(0), pa.array(made, pa.list_(pa.int64()))], ["row", "all"])
 
-    texts = docs.select(row_of(docs).alias("row"), text_bytes().alias("data")).join(loose.select("row"), "row", "left_semi")
+    texts = docs.select(row_of(docs).alias("row"), text_bytes().alias("data")).join(broadcast_keys(loose.select("row")), "row", "left_semi")
     sets = texts.mapInArrow(lean(rows), "row long, all array<long>").dropDuplicates(["row"])
     weight = loose.groupBy("root").agg(F.ceil(F.sum(F.col("n") + 64) / cell_shingles).cast("int").alias("cut"))
     placed = celled(loose.join(weight, "root"), F.col("cut"), "set").select("root", F.col("cell").cast("long"), "set", "row")
