@@ -54,13 +54,13 @@ def lean(rows: Rows) -> Rows:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from rows(batches)
-        pa.default_memory_pool().release_unused()
         trim()
 
     return run
 
 
 def trim() -> None:
+    pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
     except (AttributeError, OSError):  # a C library without it
@@ -101,6 +101,19 @@ def scratch_tables(spark: SparkSession) -> Iterator[None]:
             fs.delete(where, True)
 
 
+@contextmanager
+def freed_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Deletes what an action in its body has shuffled when that action ends; else it stays until the driver collects its
+    garbage. Only for actions whose results are written or collected."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def text_bytes(column: str = "text"):
     """The UTF-8 bytes of a text column, which reach Python without being decoded."""
     return F.col(column).cast("binary")

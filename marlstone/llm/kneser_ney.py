@@ -17,7 +17,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.llm import ngram_shards
-from marlstone.llm.common import written
 
 QUANTILE = 0.995
 
@@ -25,11 +24,10 @@ QUANTILE = 0.995
 def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
     """doc_id, lang, n_words, perplexity, threshold and kept of every document."""
     trusted = labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    found = ngram_shards.perplexities(docs, trusted)
-    if found is None:
+    scored = ngram_shards.perplexities(docs, trusted)
+    if scored is None:
         empty = docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), F.size(F.array_remove(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), "")).cast("long").alias("n_words"))
         return empty.select("*", F.lit(None).cast("double").alias("perplexity"), F.lit(None).cast("double").alias("threshold"), (F.col("n_words") > 0).alias("kept"))
-    scored = written(found, "perplexity")
     told = scored.where("n_words > 0 and own is not null")
     at = F.percentile_approx("own", F.lit(quantile), F.lit(10_000))
     limits = told.groupBy("lang").agg(at.alias("limit"))

@@ -1,10 +1,13 @@
 """Kneser-Ney counts of all trusted text in hash shards, and the perplexity of every document by them.
 
-Words, pairs and triples are 64-bit hashes. Documents are read in chunks of about ``CHUNK`` bytes; a chunk sends its
-trusted triples, counted, to the shards of their last two words, where they are added up and the continuation counts and
-the contexts' sums are made. These records go to the shards of their own keys. A chunk's distinct keys meet them there,
-shard by shard, and the counts found go back to the chunk. The number of shards grows with the text, so that a shard's
-keys fit a task; the driver gets nothing but counts of counts, and nothing is broadcast.
+Words and pairs are 64-bit hashes. Documents are read in chunks of about ``CHUNK`` bytes, which are written as numbers of
+words. The work goes in at most ``ROUNDS`` rounds, one for each range of hashes of the middle word of a triple, and what a
+round shuffles is deleted when it ends, so the disk never holds more than a round's share of the questions. In a round a
+chunk sends its distinct triples to the shards of their first pairs, and its distinct last pairs, with the words that
+trusted text has before them, to the shards of those. A shard adds up what is trusted and answers every chunk in the order of
+its question, so no table of the n-grams is kept. The words' own counts are asked for when all rounds are over, in ``TURNS``
+parts of them. Then chunks meet their answers, again a part at a time. The number of shards grows with the text, so that a shard fits a task; the
+driver gets nothing but counts of counts.
 
 A trusted document is in the counts it is scored by, so it has a second perplexity, ``own``: the same with its own
 occurrences taken out of all counts (the discounts and the number of words stay), which is what the thresholds need.
@@ -14,6 +17,7 @@ from __future__ import annotations
 
 import pickle
 from collections.abc import Iterator
+from functools import reduce
 from typing import Any
 
 import numpy as np
@@ -24,11 +28,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import lean, space_words, text_bytes, written
+from marlstone.llm.common import BROADCAST_ROWS, freed_shuffles, lean, scratch_tables, space_words, text_bytes, trim, written
 
-CHUNK, SHARD = 8 << 20, 32 << 20  # bytes of text
+CHUNK, SHARD = 8 << 20, 8 << 20  # bytes of text
+ROUNDS, TURNS, PARTS = 16, 4, 8  # of n-grams, of words, of chunks
 START, END = 0, 1
 SCORED = "doc_id long, lang string, n_words long, perplexity double, own double"
+FOUND = "kind string, chunk long, shard int, data binary, n long"
 
 
 def pack(*arrays: Any) -> bytes:
@@ -44,7 +50,8 @@ def unpack(data: bytes) -> Any:
 
 
 def packed_keys(keys: np.ndarray) -> bytes:
-    """Sorted keys: the first bytes of all differences, the second ones and so on, of which the upper are zero."""
+    """Keys, of which most are in order: the first bytes of all differences, the second ones and so on, of which the upper are
+    mostly zero."""
     return zstandard.ZstdCompressor(level=1).compress(np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes())
 
 
@@ -65,18 +72,31 @@ def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
     return ((keys >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
 
 
-def triple_keys(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Keys of the triple, its first pair, its last pair, the middle and the last word."""
-    ab = mix(a, b)
-    return mix(ab, c), ab, mix(b, c), b, c
+def round_of(hashes: np.ndarray, rounds: int) -> np.ndarray:
+    return ((hashes & np.uint64(0xFFFFFFFF)) * np.uint64(rounds) >> np.uint64(32)).astype(np.int64)
 
 
-def chunk_triples(hashes: np.ndarray, line: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The places of the words to predict, and the document of each."""
+def predicted(hashes: np.ndarray, line: np.ndarray, lengths: np.ndarray, rounds: int, k: int) -> np.ndarray:
+    """The places of the words to predict that follow a word of round k."""
+    here = np.zeros(len(line), bool)
+    here[1:] = (round_of(hashes, rounds) == k)[line[:-1]]
     first = np.cumsum(lengths) - lengths
-    doc = np.repeat(np.arange(len(lengths)), lengths)
-    at = np.flatnonzero(np.arange(len(line)) - first[doc] >= 2)
-    return at, doc[at]
+    here[first] = here[first + 1] = False
+    return np.flatnonzero(here)
+
+
+def pairs_of(hashes: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys of pairs of words, sorted, and the number of each place's."""
+    return np.unique(mix(hashes[x], hashes[y]), return_inverse=True)
+
+
+def joint(pair: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Numbers of pairs and words in one number, in the order of the pairs."""
+    return pair.astype(np.uint64) << np.uint64(32) | word.astype(np.uint64)
+
+
+def parted(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return (x >> np.uint64(32)).astype(np.int64), (x & np.uint64(0xFFFFFFFF)).astype(np.int64)
 
 
 def by_shard(keys: np.ndarray, shards: int) -> Iterator[tuple[int, slice]]:
@@ -87,69 +107,102 @@ def by_shard(keys: np.ndarray, shards: int) -> Iterator[tuple[int, slice]]:
             yield i, slice(int(cuts[i]), int(cuts[i + 1]))
 
 
-def chunks(docs: DataFrame) -> DataFrame:
-    """docs: doc_id, lang, bytes of text, trusted. Returns chunk and data, the documents of each chunk as word numbers."""
+class Numbers(dict):
+    """Numbers words as they come, after START and END."""
+
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self) + 2
+        return n
+
 
-    def made(chunk: int, rows: list[tuple]) -> pa.RecordBatch:
-        vocabulary: dict[bytes, int] = {}
-        lines = [[START, START, *(vocabulary.setdefault(w, len(vocabulary) + 2) for w in space_words(r[2])), END] for r in rows]
+def chunks(docs: DataFrame, part: int = 0) -> DataFrame:
+    """docs: doc_id, lang, bytes of text, trusted. Returns a row for each chunk: its documents, their texts as numbers of words
+    (the more frequent, the smaller), the bytes of text and the number of trusted texts."""
+
+    def made(chunk: int, rows: list[tuple], size: int) -> pa.RecordBatch:
+        vocabulary = Numbers()
+        flat: list[int] = []
+        lengths = []
+        for r in rows:
+            before = len(flat)
+            flat += (START, START)
+            flat.extend(map(vocabulary.__getitem__, space_words(r[2])))
+            flat.append(END)
+            lengths.append(len(flat) - before)
         hashes = np.array([11, 13, *(xxhash.xxh64_intdigest(w, 42) for w in vocabulary)], np.uint64)
+        line = np.array(flat, np.int32)
+        order = np.lexsort((hashes, -np.bincount(line, minlength=len(hashes))))  # words that are as frequent: by hash, for packed_keys
+        rank = np.empty(len(order), np.int32)
+        rank[order] = np.arange(len(order), dtype=np.int32)
         trusted = np.array([bool(r[3]) and r[2] is not None for r in rows])
-        data = pack([r[0] for r in rows], [r[1] for r in rows], hashes, np.concatenate([np.array(x, np.int32) for x in lines]), np.array([len(x) for x in lines]), trusted)
-        return pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([data], pa.binary())], ["chunk", "data"])
+        columns = [chunk], [pack([r[0] for r in rows], [r[1] for r in rows])], [pack(packed_keys(hashes[order]), rank[line], np.array(lengths, np.int32), trusted)], [size], [int(trusted.sum())]
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64()), strict=True)], ["chunk", "rows", "data", "size", "taught"])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk, held, size = TaskContext.get().partitionId() << 32, [], 0
+        chunk, held, size = (part << 24 | TaskContext.get().partitionId()) << 32, [], 0
         for b in batches:
             for r in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 held.append(r)
                 size += len(r[2] or b"") + 1
                 if size >= CHUNK:
-                    yield made(chunk, held)
+                    yield made(chunk, held, size)
                     chunk, held, size = chunk + 1, [], 0
         if held:
-            yield made(chunk, held)
-
-    return docs.mapInArrow(lean(rows), "chunk long, data binary")
-
-
-def sent(cut: DataFrame, shards: int, what: str) -> DataFrame:
-    """What chunks send to the shards: their trusted triples, counted, by shard of the last pair (``counts``), or their
-    distinct keys, sorted, by shard of the key (``keys``)."""
+            yield made(chunk, held, size)
+
+    return docs.mapInArrow(lean(rows), "chunk long, rows binary, data binary, size long, taught long")
+
+
+def chunk_words(data: bytes) -> tuple[np.ndarray, ...]:
+    """The hashes of a chunk's words, their numbers as they stand, the lengths of the texts and which are trusted."""
+    hashes, *rest = unpack(data)
+    return unpacked_keys(hashes), *rest
+
+
+def sent(cut: DataFrame, shards: int, rounds: int, k: int) -> DataFrame:
+    """What chunks send in round k, by cell: 2 * shard for the first pairs of triples and the words after them, with how often
+    trusted text has them, and 2 * shard + 1 for the last pairs and the words before them in trusted text. Words are numbers
+    in the message's own list of hashes."""
+
+    def firsts(hashes: np.ndarray, a: np.ndarray, b: np.ndarray, c: np.ndarray, trusted: np.ndarray) -> Iterator[tuple]:
+        keys, of = pairs_of(hashes, a, b)
+        triples, back = np.unique(joint(of, c), return_inverse=True)
+        n = np.bincount(back, trusted).astype(np.int32)
+        pair, word = parted(triples)
+        many = np.bincount(pair, minlength=len(keys))
+        ends = np.r_[0, np.cumsum(many)]
+        for s, p in by_shard(keys, shards):
+            own = slice(int(ends[p.start]), int(ends[p.stop]))
+            words, after = np.unique(word[own], return_inverse=True)
+            yield 2 * s, pack(packed_keys(keys[p]), hashes[words], many[p].astype(np.int32), after.astype(np.int32), n[own])
+
+    def lasts(hashes: np.ndarray, a: np.ndarray, b: np.ndarray, c: np.ndarray, trusted: np.ndarray) -> Iterator[tuple]:
+        keys, of = pairs_of(hashes, b, c)
+        at = np.flatnonzero(trusted)
+        triples, one = np.unique(joint(of[at], a[at]), return_index=True)
+        one = at[one]
+        many = np.bincount(parted(triples)[0], minlength=len(keys))
+        ends = np.r_[0, np.cumsum(many)]
+        for s, p in by_shard(keys, shards):
+            own = one[ends[p.start] : ends[p.stop]]
+            pair = one[ends[:-1][p][many[p] > 0]]
+            words, numbers = np.unique(np.concatenate([a[own], b[pair], c[pair]]), return_inverse=True)
+            before, middle, last = np.split(numbers.astype(np.int32), [len(own), len(own) + len(pair)])
+            yield 2 * s + 1, pack(packed_keys(keys[p]), hashes[words], many[p].astype(np.int32), before, middle, last)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for chunk, data in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                _, _, hashes, line, lengths, trusted = unpack(data)
-                at, doc = chunk_triples(hashes, line, lengths)
-                if what == "counts":
-                    at = at[trusted[doc]]
-                h = hashes[line]
-                keys = triple_keys(h[at - 2], h[at - 1], h[at])
-                out: list[tuple] = []
-                if what == "keys":
-                    distinct = np.unique(np.concatenate(keys))
-                    out = [(s, chunk, packed_keys(distinct[part])) for s, part in by_shard(distinct, shards)]
-                else:
-                    _, one, n = np.unique(keys[0], return_index=True, return_counts=True)
-                    order = np.argsort(keys[2][one], kind="stable")
-                    one, n = one[order], n[order]
-                    for s, part in by_shard(keys[2][one], shards):
-                        place = at[one[part]]
-                        words, abc = np.unique(np.stack([line[place - 2], line[place - 1], line[place]]), return_inverse=True)
-                        out.append((s, chunk, pack(hashes[words], abc.reshape(3, -1).astype(np.int32), n[part].astype(np.int32))))
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int32(), pa.int64(), pa.binary()), strict=True)], ["shard", "chunk", "data"])
-
-    return cut.mapInArrow(lean(rows), "shard int, chunk long, data binary")
+        for batch in batches:
+            for chunk, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                hashes, line, lengths, trusted = chunk_words(data)
+                at = predicted(hashes, line, lengths, rounds, k)
+                if not len(at):
+                    continue
+                told = np.repeat(trusted, lengths)[at]
+                for side in firsts, lasts:
+                    out = list(side(hashes, line[at - 2], line[at - 1], line[at], told))
+                    yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int32()), pa.array([chunk] * len(out), pa.int64()), pa.array([x for _, x in out], pa.binary())], ["cell", "chunk", "data"])
 
-
-def added(keys: np.ndarray, fields: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct sorted keys and the sums of their fields (one row of fields for each)."""
-    order = np.argsort(keys, kind="stable")
-    keys = keys[order]
-    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]][: len(keys)])
-    return keys[first], np.add.reduceat(fields[:, order], first, axis=1) if len(keys) else fields
+    return cut.select("chunk", "data").mapInArrow(lean(rows), "cell int, chunk long, data binary")
 
 
 def context(n: np.ndarray) -> np.ndarray:
@@ -157,31 +210,68 @@ def context(n: np.ndarray) -> np.ndarray:
     return np.stack([n, n == 1, n == 2, n > 2]).astype(np.int64)
 
 
-def records(counted: DataFrame, shards: int) -> DataFrame:
-    """Rows of kind m (records of triples and pairs) and w (of words) by shard of their keys: count, then the context's
-    fields. Kinds 3 and 2 give the number n of triples and pairs whose count is shard."""
+def summed(group: np.ndarray, fields: np.ndarray, groups: int) -> np.ndarray:
+    return np.stack([np.bincount(group, x, groups) for x in fields]).astype(np.int64)
+
+
+def found_at(sorted_keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each wanted key stands, and whether it does."""
+    place = np.minimum(np.searchsorted(sorted_keys, wanted), max(len(sorted_keys) - 1, 0))
+    return place, sorted_keys[place] == wanted if len(sorted_keys) else np.zeros(len(wanted), bool)
+
+
+def answered(messages: DataFrame, word_shards: int) -> DataFrame:
+    """Rows of kind ab and bc (what a chunk asked a shard: the contexts of first pairs with the counts of triples, and the
+    counts of last pairs) and w (records of words, by shard of the word: count, then the context's fields). Kinds 3 and 2 give
+    the number n of triples and pairs whose count is shard."""
 
-    def merged(table: pa.Table) -> pa.Table:
+    def rows(table: pa.Table) -> pa.Table:
+        shard, last = divmod(table.column("cell")[0].as_py(), 2)
         parts = [unpack(x) for x in table.column("data").to_pylist()]
-        keys = [triple_keys(*words[abc]) for words, abc, _ in parts]
-        three, ab, bc, b, c = (np.concatenate([k[i] for k in keys]) for i in range(5))
-        n = np.concatenate([p[2] for p in parts]).astype(np.int64)
-        three, one, back = np.unique(three, return_index=True, return_inverse=True)
-        n = np.bincount(back, n, len(one)).astype(np.int64)
-        pairs, two, many = np.unique(bc[one], return_index=True, return_counts=True)
-        two = one[two]
-        count = lambda x: np.stack([x, *[np.zeros_like(x)] * 4])
-        follow = lambda x: np.concatenate([np.zeros((1, len(x)), np.int64), context(x)])
+        words = np.unique(np.concatenate([p[1] for p in parts]))
+        asked = [unpacked_keys(p[0]) for p in parts]
+        numbers = [np.searchsorted(words, p[1]) for p in parts]  # of the message's words among all
+        third = [x[p[3]] for x, p in zip(numbers, parts, strict=True)]
+        n = np.concatenate([np.ones(len(p[3]), np.int32) if last else p[4] for p in parts])
+        told = np.flatnonzero(n)
+        pairs, of = np.unique(np.concatenate([np.repeat(k, p[2]) for k, p in zip(asked, parts, strict=True)])[told], return_inverse=True)
+        triples, back = np.unique(joint(of, np.concatenate(third)[told]), return_inverse=True)
+        n = np.bincount(back, n[told], len(triples)).astype(np.int64)
+        pair = parted(triples)[0]
         out: list[tuple] = []
-        for kind, (k, f) in {
-            "m": added(np.concatenate([three, pairs, ab[one]]), np.concatenate([count(n), count(many), follow(n)], axis=1)),
-            "w": added(np.concatenate([c[two], b[two]]), np.concatenate([count(np.ones_like(many)), follow(many)], axis=1)),
-        }.items():
-            out += [(kind, s, pack(packed_keys(k[p]), f[:, p].astype(np.int32)), 0) for s, p in by_shard(k, shards)]
-        out += [(kind, i, None, int((x == i).sum())) for kind, x in (("3", n), ("2", many)) for i in (1, 2, 3, 4)]
-        return pa.table([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.string(), pa.int32(), pa.binary(), pa.int64()), strict=True)], ["kind", "shard", "data", "n"])
+        if last:
+            n = np.bincount(pair, minlength=len(pairs))
+            fields = n[None]
+            named = np.concatenate([k[p[2] > 0] for k, p in zip(asked, parts, strict=True)])
+            one = np.unique(named, return_index=True)[1]
+            middle, end = (np.concatenate([x[p[i]] for x, p in zip(numbers, parts, strict=True)])[one] for i in (4, 5))
+            f = np.concatenate([np.bincount(end, minlength=len(words))[None], summed(middle, context(n), len(words))])
+            seen = f.any(axis=0)
+            known, f = words[seen], f[:, seen]
+            out += [("w", None, s, pack(packed_keys(known[p]), f[:, p].astype(np.int32)), None) for s, p in by_shard(known, word_shards)]
+        else:
+            fields = summed(pair, context(n), len(pairs))
+        out += [("2" if last else "3", None, i, None, int((n == i).sum())) for i in (1, 2, 3, 4)]
+        for chunk, k, p, word in zip(table.column("chunk").to_pylist(), asked, parts, third, strict=True):
+            place, hit = found_at(pairs, k)
+            data = [np.packbits(hit), len(hit), fields[:, place[hit]].astype(np.int32)]
+            if not last:
+                follow = np.repeat(hit, p[2])
+                at, has = found_at(triples, joint(np.repeat(place, p[2])[follow], word[follow]))
+                data.append(np.where(has, n[at], 0).astype(np.int32) if len(n) else np.zeros(len(at), np.int32))
+            out.append(("bc" if last else "ab", chunk, shard, pack(*data), None))
+        trim()
+        return pa.table([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.string(), pa.int64(), pa.int32(), pa.binary(), pa.int64()), strict=True)], ["kind", "chunk", "shard", "data", "n"])
+
+    return messages.groupBy("cell").applyInArrow(rows, FOUND)
 
-    return counted.select("shard", "data").groupBy("shard").applyInArrow(merged, "kind string, shard int, data binary, n long")
+
+def added(keys: np.ndarray, fields: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct sorted keys and the sums of their fields (one row of fields for each)."""
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]][: len(keys)])
+    return keys[first], np.add.reduceat(fields[:, order], first, axis=1) if len(keys) else fields
 
 
 def shard_records(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -207,6 +297,7 @@ def settings(made: DataFrame) -> dict[str, Any]:
         n = shard_records(table)[1][0]
         n = n[n > 0]
         low = np.minimum(n, 5)
+        trim()
         return pa.table([pa.array(range(1, 6), pa.int32()), pa.array([int((low == i).sum()) for i in range(1, 6)], pa.int64()), pa.array([int(n[low == i].sum()) for i in range(1, 6)], pa.int64())], ["i", "n", "total"])
 
     of: dict[str, dict[int, int]] = {k: {} for k in "32"}
@@ -225,21 +316,31 @@ def settings(made: DataFrame) -> dict[str, Any]:
     }
 
 
-def answers(asked: DataFrame, made: DataFrame) -> DataFrame:
-    """The fields of every key that a chunk asks for, in its order."""
+def answers(cut: DataFrame, made: DataFrame, shards: int, some: range) -> DataFrame:
+    """Rows of kind w by chunk: the fields of its words in some of the shards, in the order of their hashes."""
+
+    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                words = np.unique(chunk_words(data)[0])
+                out = [(s, chunk, packed_keys(words[p])) for s, p in by_shard(words, shards) if s in some]
+                if not out:
+                    continue
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int32(), pa.int64(), pa.binary()), strict=True)], ["shard", "chunk", "data"])
 
     def found(asked: pa.Table, own: pa.Table) -> pa.Table:
         keys, fields = shard_records(own)
         data = []
         for q in asked.column("data").to_pylist():
-            wanted = unpacked_keys(q)
-            place = np.minimum(np.searchsorted(keys, wanted), max(len(keys) - 1, 0))
-            hit = keys[place] == wanted if len(keys) else np.zeros(len(wanted), bool)
+            place, hit = found_at(keys, unpacked_keys(q))
             data.append(pack(np.packbits(hit), len(hit), fields[:, place[hit]].astype(np.int32)))
-        return pa.table([asked.column("chunk"), asked.column("shard"), pa.array(data, pa.binary())], ["chunk", "shard", "data"])
+        rows = len(data)
+        trim()
+        return pa.table([pa.array(["w"] * rows, pa.string()), asked.column("chunk"), asked.column("shard"), pa.array(data, pa.binary()), pa.nulls(rows, pa.int64())], ["kind", "chunk", "shard", "data", "n"])
 
-    model = made.where("kind in ('m', 'w')").select("shard", "data")
-    return asked.select("shard", "chunk", "data").groupBy("shard").cogroup(model.groupBy("shard")).applyInArrow(found, "chunk long, shard int, data binary")
+    questions = cut.select("chunk", "data").mapInArrow(lean(asked), "shard int, chunk long, data binary")
+    model = made.where((F.col("kind") == "w") & F.col("shard").between(some.start, some.stop - 1)).select("shard", "data")
+    return questions.groupBy("shard").cogroup(model.groupBy("shard")).applyInArrow(found, FOUND)
 
 
 def step(n: np.ndarray, around: np.ndarray, d: np.ndarray, low: np.ndarray) -> np.ndarray:
@@ -285,43 +386,94 @@ def without_own(doc: np.ndarray, places: np.ndarray, counts: tuple, told: dict[s
     return n3 - own[back], ab, two, b, one, total[doc], left[doc]
 
 
-def scored(documents: DataFrame, found: DataFrame, told: dict[str, Any]) -> DataFrame:
+def joined(parts: list, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the things asked for were found, and the fields of all, from the answers in order."""
+    hit = np.concatenate([np.unpackbits(p[0], count=p[1]).astype(bool) for p in parts])
+    fields = np.zeros((width, len(hit)), np.int64)
+    fields[:, hit] = np.concatenate([p[2] for p in parts], axis=1)
+    return hit, fields
+
+
+def scored(documents: DataFrame, found: DataFrame, told: dict[str, Any], rounds: int) -> DataFrame:
     """doc_id, lang, n_words, perplexity and, for trusted documents, own of every row."""
 
     def rows(documents: pa.Table, found: pa.Table) -> pa.Table:
-        ids, langs, hashes, line, lengths, trusted = unpack(documents.column("data")[0].as_py())
-        parts = [unpack(d) for _, d in sorted(zip(found.column("shard").to_pylist(), found.column("data").to_pylist(), strict=True))]
-        hit = np.concatenate([np.unpackbits(p[0], count=p[1]).astype(bool) for p in parts])
-        fields = np.zeros((5, len(hit)), np.int64)
-        fields[:, hit] = np.concatenate([p[2] for p in parts], axis=1)
-        at, doc = chunk_triples(hashes, line, lengths)
-        h = hashes[line]
-        keys = np.concatenate(triple_keys(h[at - 2], h[at - 1], h[at]))
-        distinct, places = np.unique(keys, return_inverse=True)
-        assert len(distinct) == len(hit)
-        places = places.reshape(5, -1)
-        n = lengths - 2
-        of = lambda p: (fields[0, p[0]], fields[1:, p[1]], fields[0, p[2]], fields[1:, p[3]], fields[0, p[4]])
-        mean = lambda x, d: np.exp(-np.bincount(d, x, len(n)) / n)
-        plain = mean(logs(*of(places), told["total"], told["left"], told), doc)
-        at = np.flatnonzero(trusted[doc])
-        own = np.full(len(n), np.nan)
-        if len(at):
-            made = without_own(doc[at], places[:, at], of(places[:, at]), told, len(n))
-            own = np.where(trusted, mean(logs(*made, told), doc[at]), np.nan)
+        ids, langs = unpack(documents.column("rows")[0].as_py())
+        hashes, line, lengths, trusted = chunk_words(documents.column("data")[0].as_py())
+        answers: dict[tuple, list] = {}
+        for *what, _, data in sorted(zip(*(found.column(x).to_pylist() for x in ("kind", "round", "shard", "data")), strict=True)):
+            answers.setdefault(tuple(what), []).append(unpack(data))
+        word, back = np.unique(hashes, return_inverse=True)
+        words = joined(answers["w", -1], 5)[1]
+        assert words.shape[1] == len(word)
+        words = words[:, back]
+        docs, trusting = np.repeat(np.arange(len(lengths)), lengths), np.repeat(trusted, lengths)
+        sums, kept, first = np.zeros(len(lengths)), [], np.zeros(3, np.int64)
+        for k in range(rounds):
+            at = predicted(hashes, line, lengths, rounds, k)
+            if not len(at):
+                continue
+            a, b, c = line[at - 2], line[at - 1], line[at]
+            pairs, ab = pairs_of(hashes, a, b)
+            triples, abc = np.unique(joint(ab, c), return_inverse=True)
+            hit, around = joined(answers["ab", k], 4)
+            n3 = np.zeros(len(triples), np.int64)
+            n3[hit[parted(triples)[0]]] = np.concatenate([p[3] for p in answers["ab", k]])
+            lasts, bc = pairs_of(hashes, b, c)
+            n2 = joined(answers["bc", k], 1)[1][0]
+            assert len(hit) == len(pairs) and len(n2) == len(lasts)
+            counts = n3[abc], around[:, ab], n2[bc], words[1:, b], words[0, c]
+            sums += np.bincount(docs[at], logs(*counts, told["total"], told["left"], told), len(sums))
+            some = np.flatnonzero(trusting[at])
+            kept.append((docs[at[some]], np.stack([first[0] + abc[some], first[1] + ab[some], first[2] + bc[some], b[some], c[some]]), [x[..., some] for x in counts]))
+            first += len(triples), len(pairs), len(lasts)
+        n = lengths.astype(np.int64) - 2
+        mean = lambda x: np.exp(-x / n)
+        plain, own = mean(sums), np.full(len(n), np.nan)
+        if trusted.any():
+            doc, places = (np.concatenate([x[i] for x in kept], axis=-1) for i in (0, 1))
+            counts = tuple(np.concatenate(x, axis=-1) for x in zip(*(x[2] for x in kept), strict=True))
+            del kept
+            made = without_own(doc, places, counts, told, len(n))
+            own = np.where(trusted, mean(np.bincount(doc, logs(*made, told), len(n))), np.nan)
+        trim()
         return pa.table([pa.array(ids, pa.int64()), pa.array(langs, pa.string()), pa.array(n - 1, pa.int64()), pa.array(plain), pa.array(own, mask=~trusted)], ["doc_id", "lang", "n_words", "perplexity", "own"])
 
-    return documents.select("chunk", "data").groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(rows, SCORED)
+    return documents.select("chunk", "rows", "data").groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(rows, SCORED)
+
+
+def union(tables: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, tables)
+
+
+def cut_up(docs: DataFrame, trusted: DataFrame) -> DataFrame:
+    """The written chunks of docs. Many trusted documents can't be broadcast, and the texts are shuffled a part at a time."""
+    told = written(trusted, "trusted").withColumn("trusted", F.lit(True))
+    few = told.count() <= BROADCAST_ROWS
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), text_bytes().alias("text"))
+    parts = []
+    for i in range(1 if few else ROUNDS):
+        own = lambda df, i=i: df if few else df.where(F.pmod(F.xxhash64("doc_id"), F.lit(ROUNDS)) == i)
+        marked = own(rows).join(F.broadcast(told) if few else own(told), "doc_id", "left")
+        parts.append(written(chunks(marked.select("doc_id", "lang", "text", "trusted"), i), "chunks"))
+    return union(parts)
 
 
 def perplexities(docs: DataFrame, trusted: DataFrame, shard_bytes: int = SHARD) -> DataFrame | None:
     """SCORED columns of every row of docs by the counts of all its trusted texts; None if there are none."""
-    told = trusted.withColumn("trusted", F.lit(True))
-    marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), text_bytes().alias("text")).join(told, "doc_id", "left")
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = 1 + size // shard_bytes
-    cut = written(chunks(marked.select("doc_id", "lang", "text", "trusted")), "chunks")
-    made = written(records(sent(cut, shards, "counts"), shards), "records")
-    if made.isEmpty():
-        return None
-    return scored(cut, answers(sent(cut, shards, "keys"), made), settings(made))
+    with scratch_tables(docs.sparkSession), freed_shuffles(docs.sparkSession):
+        cut = cut_up(docs, trusted)
+        size, taught = cut.agg(F.sum("size"), F.sum("taught")).first()
+        if not taught:
+            return None
+        rounds = min(ROUNDS, 1 + size // shard_bytes)
+        shards = 1 + size // (shard_bytes * rounds)
+        word_shards = 2 * shards + TURNS
+        cuts = [i * word_shards // TURNS for i in range(TURNS + 1)]
+        made = [written(answered(sent(cut, shards, rounds, k), word_shards), "round") for k in range(rounds)]
+        told = settings(union(made))
+        words = [written(answers(cut, union(made), word_shards, range(*x)), "words").withColumn("round", F.lit(-1)) for x in zip(cuts, cuts[1:], strict=False)]
+        found = union([t.where("kind in ('ab', 'bc')").withColumn("round", F.lit(k)) for k, t in enumerate(made)] + words)
+        parts = min(rounds, PARTS)
+        part = lambda df, i: df.where(F.pmod(F.xxhash64("chunk"), F.lit(parts)) == i)
+        return union([written(scored(part(cut, i), part(found, i), told, rounds), "perplexity", keep=True) for i in range(parts)])

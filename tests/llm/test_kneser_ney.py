@@ -1,12 +1,15 @@
 import hashlib
 import math
+import os
 import random
+import time
 from collections import Counter
 
 import pytest
 
 from marlstone.llm import kneser_ney as kn
 from marlstone.llm import ngram_shards
+from marlstone.scratch import scratch_root
 
 
 def slow_model(texts):
@@ -134,3 +137,37 @@ def test_a_long_trusted_text_ends_nothing(spark, table):
     out = {r.doc_id: r for r in kn.classify(table(rows), labels).collect()}
     assert all(r.perplexity is not None and r.threshold is not None for r in out.values())
     assert all(out[i].kept and out[i].perplexity < out[40].perplexity / 2 for i in range(1, 30))
+
+
+def test_disk_is_freed_as_it_goes(spark, table, monkeypatch):
+    """What a step shuffles is gone when its table is written, and of the tables only the result stays."""
+    local = [str(d) for d in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    shuffles = lambda: {f for top in local for _, _, names in os.walk(top) for f in names if f.startswith("shuffle_") and f.endswith(".data")}
+    tables = lambda: set(os.listdir(scratch_root(spark).removeprefix("file://")))
+    docs, before, held, real = table(docs_of()), shuffles(), tables(), ngram_shards.written
+    steps = []
+
+    def left(df, name, *more, **kept):
+        out = real(df, name, *more, **kept)
+        until = time.time() + 10  # they are deleted in the background
+        while shuffles() - before and time.time() < until:
+            time.sleep(0.05)
+        steps.append((name, len(shuffles() - before)))
+        return out
+
+    monkeypatch.setattr(ngram_shards, "written", left)
+    out = ngram_shards.perplexities(docs, spark.createDataFrame([(i,) for i in range(50)], "doc_id long"), shard_bytes=3000)
+    assert out.count() == len(docs_of())
+    assert len(steps) > 5 and not any(n for _, n in steps), steps
+    assert all(x.startswith("perplexity") for x in tables() - held)
+
+
+def test_many_trusted_documents(spark, table, monkeypatch):
+    """Too many to broadcast: texts are shuffled a part at a time, and the result is the same, row for row."""
+    rows = [*docs_of(), (None, "w1 w2", "en"), (3, "w1 w3", None), (102, None, None)]
+    trusted = spark.createDataFrame([(i,) for i in range(50)], "doc_id long")
+    found = lambda: sorted((r.doc_id or -1, r.lang or "", r.n_words, round(r.perplexity, 9), round(r.own or 0, 9)) for r in ngram_shards.perplexities(table(rows), trusted).collect())
+    few = found()
+    monkeypatch.setattr(ngram_shards, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(ngram_shards, "ROUNDS", 3)
+    assert found() == few and len(few) == len(rows)
